@@ -27,7 +27,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = train_toxicity_model(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = train_toxicity_model(docs, labels)
     return score_toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -37,6 +37,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "whole", "part")
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.tiff import media_digests
+
+    return media_digests(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +51,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces(documents(spark, sf_dir), tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.suffixes import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.quality import quality_rules
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules(documents(spark, sf_dir), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by", F.col("lang").alias("stratum"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxelith.llm.licenses import scan_licenses
+
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelith.llm.sharding import assign_shards
 
@@ -52,6 +77,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_toxicity, op4_mixing, op6_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_toxicity, op4_mixing, op5_tiff, op6_packing, op7_suffix_dedup, op8_quality, op9_licenses, op10_sharding)}
 
 ORACLES: dict[str, str] = {}

@@ -55,16 +55,17 @@ def fingerprint(text: str | None, width: int = 3, block: int = 1 << 16) -> int:
     return int(sum(1 << int(i) for i in np.flatnonzero(2 * ones > n)))
 
 
-def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint's bits as a signed long."""
-    kind = dict(docs.dtypes)[doc_id]
+def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` and fp of each row; fp is the fingerprint's bits as a signed long."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text"))
 
     def run(batches):
         for pdf in batches:
-            fps = np.array([fingerprint(t, width) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+            fps = np.array([fingerprint(t, width) for t in pdf.pop("__text")], np.uint64)
+            yield pdf.assign(fp=fps.view(np.int64))
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    kinds = dict(source.dtypes)
+    return source.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *keep]) + ", fp long")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -153,14 +154,14 @@ def links(fps: DataFrame, *, bucket: int = 48) -> DataFrame:
     return pairs.union(around.where("bit_count(a ^ b) <= 3")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, bucket: int = 48) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each row."""
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, bucket: int = 48, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, fingerprint (16 hex digits) and component_id of each row."""
     spark = docs.sparkSession
-    marked = stored(fingerprints(docs, doc_id=doc_id, text=text, width=width), "fingerprints")
+    marked = stored(fingerprints(docs, doc_id=doc_id, text=text, width=width, keep=keep), "fingerprints")
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     root = components(links(first.select("fp"), bucket=bucket))
     free(spark)
     joined = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(classes, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

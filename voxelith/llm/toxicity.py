@@ -14,6 +14,7 @@ vector. If no labelled row exists all scores are 0. Repeated rows score alike; o
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,43 +45,51 @@ def subwords(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(word number, embedding row) of all features, by word."""
     marked = [b"<%b>" % w for w in words]
     codes = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(words)), [len(w) for w in marked])
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in marked])
     parts = [*hashed_ngrams(codes, owner, (3, 4, 5), bits)]
     whole = np.fromiter(map(zlib.crc32, marked), np.uint32, len(words)) >> np.uint32(32 - bits)
-    own, row = (np.concatenate(x) for x in zip(*parts, (np.arange(len(words)), whole), strict=True))
+    own, row = (np.concatenate(x) for x in zip(*parts, (np.arange(len(words), dtype=np.int32), whole), strict=True))
     order = np.argsort(own, kind="stable")
-    return own[order], row[order].astype(np.int64)
+    return own[order], row[order]
 
 
 def _mean_by(values: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
     return np.add.reduceat(values, starts) / np.diff(starts, append=total)
 
 
-def train_toxicity_model(labelled: DataFrame, *, text: str = "text", label: str = "toxic", bits: int = 18, dim: int = 8, passage: int = 8, rows_per_class: int = 4000, epochs: int = 120, seed: int = 3) -> ToxicityModel:
-    """Learn from rows whose label is 0 or 1; ``rows_per_class`` bounds the sample of each class (in expectation)."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, dim: int = 8, passage: int = 8, rows_per_class: int = 3000, epochs: int = 120, seed: int = 3) -> ToxicityModel:
+    """Learn from documents that ``labels`` (one row an id) marks 0 or 1.
+
+    ``rows_per_class`` bounds the sample of each class (in expectation, by a hash of the id), so the ids sampled
+    are sent to all executors.
+    """
+    marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return ToxicityModel(np.zeros(1 << bits), 0.0, bits, passage, False)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(rows_per_class / n))])
-    sample = rows.where(unit_hash(F.col("text"), seed=seed) < share[F.col("label")]).toPandas()
-    return fit(list(sample["text"]), sample["label"].to_numpy(), bits=bits, dim=dim, passage=passage, epochs=epochs, seed=seed)
+    some = marks.where(unit_hash(F.col("doc_id"), seed=seed) < share[F.col("label")])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    sample = rows.join(F.broadcast(some), "doc_id").select("text", "label").toPandas()
+    texts, marked = list(sample.pop("text")), sample["label"].to_numpy()
+    return fit(texts, marked, bits=bits, dim=dim, passage=passage, epochs=epochs, seed=seed)
 
 
 def fit(texts: list[str], labels: np.ndarray, *, bits: int, dim: int, passage: int, epochs: int, seed: int) -> ToxicityModel:
     index: dict[bytes, int] = {}
-    tokens, doc_starts, pass_starts, y = [], [], [], []
+    tokens, doc_starts, pass_starts, y = array("i"), [], [], []
     for t, label in sorted(zip(texts, labels, strict=True)):
         ids = [index.setdefault(w, len(index)) for w in words_of(t)]
         if ids:
             at = len(tokens)
             doc_starts.append(len(pass_starts))
             pass_starts += range(at, at + len(ids), passage)
-            tokens += ids
+            tokens.extend(ids)
             y.append(label)
     if len(set(y)) < 2:
         return ToxicityModel(np.zeros(1 << bits), 0.0, bits, passage, False)
-    tokens, doc_starts, pass_starts, y = (np.array(x, np.int64) for x in (tokens, doc_starts, pass_starts, y))
+    texts.clear()
+    tokens, doc_starts, pass_starts, y = (np.array(x, np.int32) for x in (tokens, doc_starts, pass_starts, y))
     own, row = subwords(list(index), bits)
     n_sub = np.bincount(own, minlength=len(index))
     word_starts = np.cumsum(n_sub) - n_sub
@@ -89,9 +98,8 @@ def fit(texts: list[str], labels: np.ndarray, *, bits: int, dim: int, passage: i
     balance = np.where(y == 1, 0.4 / (y == 1).sum(), 0.6 / (y == 0).sum())
 
     rng = np.random.default_rng(seed)
-    params = {"E": rng.normal(0, 0.1, (1 << bits, dim)), "W": rng.normal(0, 0.5, (dim, 2)), "b": np.zeros(2)}
+    params = {"E": rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32), "W": rng.normal(0, 0.5, (dim, 2)), "b": np.zeros(2)}
     m = {k: np.zeros_like(v) for k, v in params.items()}
-    used = np.unique(row)
     for step in range(1, epochs + 1):
         E, W, b = params["E"], params["W"], params["b"]
         w = W[:, 1] - W[:, 0]
@@ -107,18 +115,17 @@ def fit(texts: list[str], labels: np.ndarray, *, bits: int, dim: int, passage: i
         g_word = np.bincount(tokens, np.repeat(8 * g_pass / pass_len, pass_len), len(index))
         g_row = np.bincount(row, (g_word / n_sub)[own], 1 << bits)
         g_w = E.T @ g_row
-        grads = {"E": g_row[:, None] * w + 1e-7 * E, "W": np.stack([-g_w, g_w], 1), "b": np.array([-g_pass.sum(), g_pass.sum()])}
+        grads = {"E": g_row[:, None].astype(np.float32) * w.astype(np.float32) + np.float32(1e-7) * E, "W": np.stack([-g_w, g_w], 1), "b": np.array([-g_pass.sum(), g_pass.sum()])}
         pace = 0.25 * (1 - step / (epochs + 1))
         for k, g in grads.items():
-            m[k] = 0.9 * m[k] + 0.1 * g
-            move = pace * m[k] / max(np.abs(m[k]).max(), 1e-12)
-            if k == "E":
-                params[k][used] -= move[used]
-            else:
-                params[k] -= move
+            m[k] *= 0.9
+            m[k] += 0.1 * g
+            move = m[k] * (pace / max(m[k].max(), -m[k].min(), 1e-12))
+            params[k] -= move
     E, W, b = params["E"], params["W"], params["b"]
     logit = np.zeros(1 << bits)
-    logit[used] = 8 * (E[used] @ (W[:, 1] - W[:, 0]))
+    used = np.unique(row)
+    logit[used] = 8 * (E[used] @ (W[:, 1] - W[:, 0]))  # features that no sampled word has stay neutral
     return ToxicityModel(logit, float(b[1] - b[0]), bits, passage)
 
 
