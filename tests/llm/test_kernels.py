@@ -74,6 +74,20 @@ def test_ball():
     assert (np.bitwise_count(word[0] ^ np.uint64(5)) == far).all()
 
 
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 255), unique=True, max_size=40))
+def test_forest(values):
+    fps = np.array([v | v << 40 for v in values], np.uint64)
+    a, b = simhash.forest(fps)
+    group = {int(x): {int(x)} for x in fps}
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        assert (x ^ y).bit_count() <= 3 and group[x] is not group[y]
+        both = group[x] | group[y]
+        for z in both:
+            group[z] = both
+    assert all(group[int(x)] is group[int(y)] for x in fps for y in fps if (int(x) ^ int(y)).bit_count() <= 3)
+
+
 # suffixes -----------------------------------------------------------------------------------------------------
 
 

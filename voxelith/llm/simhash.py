@@ -8,11 +8,12 @@ segment equal and another within one bit (keys: the equal segment with the other
 (keys: the indices of the first two with an equal half of the third). Keys carry about 35 bits, so buckets stay
 small whatever the corpus.
 
-Buckets of up to ``bucket`` distinct fingerprints compare their pairs. Fingerprints in a larger bucket meet in
-another exact way whose rows grow linearly: each emits all words within two bits of it; at a word that one of
-them reaches within one bit, all that reach it are linked to that one, as 1 + 2 <= 3, and every pair within three
-bits meets so. Links are verified and joined into components of distinct fingerprints; copies of a text share
-one fingerprint and never multiply.
+Buckets of up to ``bucket`` distinct fingerprints compare their pairs. Those of up to ``most`` are searched
+breadth first, each fingerprint against those not reached yet, and give only the links of a spanning forest.
+Fingerprints in a larger bucket, which one task should not hold, meet in another exact way whose rows grow
+linearly: each emits all words within two bits of it; at a word that one of them reaches within one bit, all that
+reach it are linked to that one, as 1 + 2 <= 3, and every pair within three bits meets so. Links are verified and
+joined into components of distinct fingerprints; copies of a text share one fingerprint and never multiply.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other.
 Fewer words than a shingle form one shingle. Repeated rows fall into one class. Rows without an id join classes,
@@ -126,7 +127,25 @@ def ball(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[:, None] ^ flips, np.repeat([0, 1, 2], [1, len(one), len(two)])
 
 
-def links(fps: DataFrame, *, bucket: int = 48) -> DataFrame:
+def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of distinct unsigned fingerprints under pairs within three bits."""
+    left, a, b = fps, [], []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = np.bitwise_count(left ^ x) <= 3
+            if near.any():
+                found = left[near]
+                a.append(np.full(len(found), x))
+                b.append(found)
+                queue += [*found]
+                left = left[~near]
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def links(fps: DataFrame, *, bucket: int = 48, most: int = 8192) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that span all pairs within three bits."""
 
     def emit(batches):
@@ -143,23 +162,31 @@ def links(fps: DataFrame, *, bucket: int = 48) -> DataFrame:
                 word, far = ball(fp.view(np.uint64))
                 yield pd.DataFrame({"word": word.view(np.int64).ravel(), "fp": np.repeat(fp, len(far)), "far": np.tile(far, len(fp)).astype(np.int8)})
 
+    def span(batches):
+        for pdf in batches:
+            for s in pdf["s"]:
+                a, b = forest(np.unique(np.asarray(s, np.int64)).view(np.uint64))
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+
     keyed = fps.mapInPandas(emit, "key long, fp long")
     shared = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "simhash-keys")
     small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("s"))
     pairs = small.select(F.explode(F.expr("flatten(transform(s, x -> transform(filter(s, y -> y > x and bit_count(x ^ y) <= 3), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    hot = shared.where(F.col("n") > bucket).select("fp").distinct()
+    middle = shared.where(F.col("n").between(bucket + 1, most)).groupBy("key").agg(F.collect_list("fp").alias("s"))
+    spanned = middle.mapInPandas(span, "a long, b long")
+    hot = shared.where(F.col("n") > most).select("fp").distinct()
     met = hot.mapInPandas(near, "word long, fp long, far byte")
     centre = met.groupBy("word").agg(F.min(F.when(F.col("far") <= 1, F.col("fp"))).alias("a"), F.count("*").alias("n")).where("a is not null and n > 1").drop("n")
-    around = stored(met.join(centre, "word").where("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "simhash-hot")
-    return pairs.union(around.where("bit_count(a ^ b) <= 3")).distinct()
+    around = met.join(centre, "word").where("a <> fp and bit_count(a ^ fp) <= 3").select("a", F.col("fp").alias("b"))
+    return pairs.union(spanned).union(around).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, bucket: int = 48, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, bucket: int = 48, most: int = 8192, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep``, fingerprint (16 hex digits) and component_id of each row."""
     spark = docs.sparkSession
     marked = stored(fingerprints(docs, doc_id=doc_id, text=text, width=width, keep=keep), "fingerprints")
     first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = components(links(first.select("fp"), bucket=bucket))
+    root = components(links(first.select("fp"), bucket=bucket, most=most))
     free(spark)
     joined = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
