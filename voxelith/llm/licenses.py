@@ -29,8 +29,14 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Templates, the notices that public licences ask to be attached, and their labels.
+#: Templates (short notices, and those that public licences ask to be attached), by their labels.
 TEMPLATES = {
+    "apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "cc-by-4.0": "Licensed under CC BY 4.0",
+    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
+    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
+    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
+    "mit-notice": "Released under the MIT License",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
         associated documentation files (the "Software"), to deal in the Software without restriction, including
         without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
@@ -188,7 +194,7 @@ def chain(matches: list[tuple[int, int, int]], size: int, gap: int) -> tuple[flo
     return top
 
 
-def scan(text: str | None, a: Automaton, least: int = 4, cover: float = 0.5, gap: int = 12) -> dict:
+def scan(text: str | None, a: Automaton, least: int = 3, cover: float = 0.7, gap: int = 12) -> dict:
     """Base places and labels, labels with those of covered templates, their spans, and the score of one text."""
     words = words_of(text)
     places, base, last = [], set(), None
@@ -216,7 +222,7 @@ def scan(text: str | None, a: Automaton, least: int = 4, cover: float = 0.5, gap
     return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {s[0] for s in spans})), "score": min(1.0, best), "spans": spans}
 
 
-def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, least: int = 4, cover: float = 0.5, gap: int = 12) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, least: int = 3, cover: float = 0.7, gap: int = 12) -> DataFrame:
     """One row per document: places and labels of phrases, labels of all, spans of templates, score."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(build(TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases))
