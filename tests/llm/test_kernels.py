@@ -216,12 +216,13 @@ def test_piece_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    table = packing.PieceIds(tok, limit=50)
+    table = packing.PieceIds(tok, limit=5000, slice_chars=100)
     rng = np.random.default_rng(8)
-    parts = ["the", " ", "  ", "\n", "\t", "Été", "don't", "'ll", "123", "!?", " ", " ", "<|endoftext|>", "\x1c", "a" * 80, "\x85", "漢字"]
-    for k in range(400):
-        text = "".join(parts[i] for i in rng.integers(0, len(parts), k % 23))
-        assert table.ids(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    parts = ["the", " ", " ", "  ", "\n", "\n", "\t", "\u00c9t\u00e9", "don't", "'ll", "123", "!?", "\u00a0", " ", "<|endoftext|>", "\x1c", "a" * 80, "\x85", "\u6f22\u5b57", "\u0120", "\u010a"]
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), k % 23)) for k in range(600)]
+    texts += [" ".join(parts[i].strip() or "x" for i in rng.integers(0, len(parts), 9)) for _ in range(100)]
+    for text, ids in zip(texts, table.many(texts), strict=True):
+        assert ids == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
 # quality ------------------------------------------------------------------------------------------------------

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,39 +24,75 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.llm.storage import stored
+from voxelith.llm.texts import slices
 
 CAPACITY = 1024
 SPLIT = re.compile(r"(?<=\S)(?= \S)")
-ODD = re.compile(r"\s\s|^\s|\s$|[^\S ]")
 SALTS = 64
 
 
-class PieceIds(dict):
-    """Ids of text pieces as little-endian 32-bit bytes; missing ones are tokenized, and the table is bounded.
+class PieceIds:
+    """Ids of texts as little-endian 32-bit bytes, by words.
 
-    The pre-tokenizer never joins characters across a single space that has other characters on both sides, so
-    ids of a text are those of its pieces cut there, each with its leading space.
+    The pre-tokenizer never joins characters across a single space or line feed with other characters on both
+    sides, so a text's ids are those of its words, each with the space before it. A word is tokenized once while
+    it stays in the tables, which are emptied when they hold ``limit`` bytes; new words are tokenized many at a
+    time. Texts with other white space are cut only where a single space stands between other characters.
     """
 
-    def __init__(self, tokenizer, limit: int = 300_000):
-        super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) < 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if ODD.search(text) is None:
-            first, *rest = text.split(" ")
-            return self[first] + b"".join(map(self.__getitem__, [" " + w for w in rest]))
-        return b"".join(map(self.__getitem__, SPLIT.split(text)))
+    def __init__(self, tokenizer, limit: int = 250_000_000, slice_chars: int = 1 << 20):
+        self.tokenizer, self.limit, self.slice_chars, self.held = tokenizer, limit, slice_chars, 0
+        self.tables: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
+        self.feed = self.encode("\n")
+        # of each id, whether its token begins with the joint that stands before words in a batch
+        size = tokenizer.get_vocab_size()
+        self.joints = {}
+        for joint, mark in ((" ", "\u0120"), ("\n", "\u010a")):
+            self.joints[joint] = np.fromiter(((tokenizer.id_to_token(i) or "").startswith(mark) for i in range(size)), bool, size)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, lead: str, words: list[str], group: int = 512) -> None:
+        """Tokenize new words; with a lead they keep the space, without one a line feed parts them."""
+        table, joint = self.tables[lead], lead or "\n"
+        for at in range(0, len(words), group):
+            part = words[at : at + group]
+            ids = np.array(self.tokenizer.encode(joint + joint.join(part), add_special_tokens=False).ids, "<u4")
+            starts = np.flatnonzero(self.joints[joint][ids])
+            ends = [*starts[1:].tolist(), len(ids)]
+            skip = 0 if lead else 1
+            for w, a, b in zip(part, starts.tolist(), ends, strict=True):
+                table[w] = ids[a + skip : b].tobytes()
+                self.held += len(w) + 4 * (b - a) + 160
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        out: list[bytes] = []
+        for a, b in slices(map(len, texts), self.slice_chars):
+            lines = [[x.split(" ") for x in t.split("\n")] for t in texts[a:b]]
+            # no other white space, and none beside another: all words are as split() finds them
+            clean = [not t or t.split() == [w for x in parts for w in x] for t, parts in zip(texts[a:b], lines, strict=True)]
+            lines = [parts if ok else [] for parts, ok in zip(lines, clean, strict=True)]
+            if self.held > self.limit:
+                self.tables, self.held = {"": {"": b""}, " ": {}}, 0
+            head, body = self.tables[""], self.tables[" "]
+            self.learn("", [*{x[0] for t in lines for x in t} - head.keys()])
+            self.learn(" ", [*{w for t in lines for x in t for w in x[1:]} - body.keys()])
+            for t, parts, ok in zip(texts[a:b], lines, clean, strict=True):
+                if ok:
+                    out.append(self.feed.join([b"".join([head[x[0]], *map(body.__getitem__, x[1:])]) for x in parts]))
+                else:
+                    out.append(b"".join(map(self.encode, SPLIT.split(t))))
+        return out
+
+
+@cache
+def piece_ids(tokenizer: str) -> PieceIds:
+    """The tables of a tokenizer's file; a worker keeps them from task to task."""
+    from tokenizers import Tokenizer
+
+    return PieceIds(Tokenizer.from_file(tokenizer))
 
 
 def pieces(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -66,14 +103,12 @@ def pieces(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        table = PieceIds(Tokenizer.from_file(tokenizer))
+        table = piece_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             out = defaultdict(list)
-            for i, t in enumerate(pdf["text"]):
-                ids = table.ids(t or "") + end
+            for i, ids in enumerate(table.many([t or "" for t in pdf["text"]])):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
