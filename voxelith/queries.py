@@ -1,6 +1,11 @@
-"""The library's queries and their DuckDB oracles."""
+"""The library's queries by survey row, and their DuckDB oracles where SQL can express them."""
 
 from __future__ import annotations
 
+from voxelith.plans import composite, queries_geometry, queries_histogram, queries_stencil, queries_voxels
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in (queries_voxels, queries_geometry, queries_histogram, queries_stencil, composite):
+    QUERIES |= module.REGISTRY.queries
+    ORACLES |= module.REGISTRY.oracles
