@@ -34,30 +34,32 @@ def lower_envelope(cost: np.ndarray) -> np.ndarray:
     return (np.arange(n) - q) ** 2 + cost[q]
 
 
-def squared_distances(mask: DataFrame, shape: Shape) -> DataFrame:
+def squared_distances(mask: DataFrame, shape: Shape, lines: int = 64) -> DataFrame:
     """Squared distance (z, y, x, d2) of every voxel to the mask; no rows if the mask is empty.
 
-    Lines along x need only the mask's rows; lines along y and z are those of the columns reached so far, so each
-    of three shuffles holds one row a voxel and one group a line.
+    Lines along x need only the mask's rows, lines along y and z those of the voxels reached so far. A group is a
+    strip of up to ``lines`` lines, so each of the three shuffles has many groups and each group fits in memory.
     """
     kinds = "z int, y int, x int, d2 double"
 
-    def along(axis: str, n: int):
-        others = [c for c in ZYX if c != axis]
+    def along(axis: str):
+        at = ZYX.index(axis)
+        outer, inner = (c for c in ZYX if c != axis)
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            cost = np.full(n, np.inf)
-            cost[pdf[axis].to_numpy()] = pdf["d2"].to_numpy()
-            out = pd.DataFrame({axis: np.arange(n, dtype=np.int32), "d2": lower_envelope(cost)})
-            for c in others:
-                out[c] = np.int32(pdf[c].iloc[0])
-            return out[[*ZYX, "d2"]]
+        def run(pdf):
+            (o,) = {*pdf[outer].tolist()}
+            own, line = np.unique(pdf[inner].to_numpy(), return_inverse=True)
+            cost = np.full((len(own), shape[at]), np.inf)
+            cost[line, pdf[axis].to_numpy()] = pdf["d2"].to_numpy()
+            d2 = np.concatenate([lower_envelope(c) for c in cost])
+            cols = {outer: np.full(len(d2), o, np.int32), inner: np.repeat(own, shape[at]).astype(np.int32), axis: np.tile(np.arange(shape[at], dtype=np.int32), len(own))}
+            return pd.DataFrame({**{c: cols[c] for c in ZYX}, "d2": d2})
 
-        return others, run
+        return [outer, F.expr(f"{inner} div {lines}").alias("__strip")], run
 
     field = mask.select(*ZYX).distinct().withColumn("d2", F.lit(0.0))
     for axis in ("x", "y", "z"):
-        keys, run = along(axis, shape[ZYX.index(axis)])
+        keys, run = along(axis)
         field = field.groupBy(*keys).applyInPandas(run, kinds)
     return field
 

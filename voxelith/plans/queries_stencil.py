@@ -159,7 +159,7 @@ def r8_upsample(spark, d):
     return resample.upsample(fx.field2(spark, d), 2, fx.shape(spark, d)).select(*ZYX, "f")
 
 
-PTS = "pt AS (SELECT l_orderkey * 10 + l_linenumber id, CAST(l_orderkey % 23 AS DOUBLE) + l_linenumber * CAST(0.125 AS DOUBLE) pz, CAST(l_partkey % 19 AS DOUBLE) + CAST(0.25 AS DOUBLE) py, CAST(l_suppkey % 63 AS DOUBLE) + CAST(0.75 AS DOUBLE) px FROM lineitem WHERE l_orderkey < 2000)"
+PTS = "pt AS (SELECT DISTINCT ((l_orderkey % 23) * 10 + l_linenumber) * 10000 + l_partkey % 19 * 100 + l_suppkey % 63 id, CAST(l_orderkey % 23 AS DOUBLE) + l_linenumber * CAST(0.125 AS DOUBLE) pz, CAST(l_partkey % 19 AS DOUBLE) + CAST(0.25 AS DOUBLE) py, CAST(l_suppkey % 63 AS DOUBLE) + CAST(0.75 AS DOUBLE) px FROM lineitem WHERE l_orderkey < 2000)"
 
 
 def tri(c: str, n: str) -> str:
@@ -168,8 +168,8 @@ def tri(c: str, n: str) -> str:
 
 @query("vox dim", f"WITH {PTS}, {tri('z', 'nz')}, {tri('y', '20')}, {tri('x', '64')} SELECT cz.id AS id, round(sum(cz.w * cy.w * cx.w * coalesce(v, 0)), 4) AS value FROM cz JOIN cy USING (id) JOIN cx USING (id) LEFT JOIN vox ON vox.z = least(cz.i, (SELECT nz - 1 FROM dim)) AND vox.y = least(cy.i, 19) AND vox.x = least(cx.i, 63) WHERE cz.w * cy.w * cx.w > 0 GROUP BY 1")
 def r1_trilinear(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey < 2000")  # the points of this query, all in the box
-    pts = li.selectExpr("l_orderkey * 10 + l_linenumber id", "double(l_orderkey % 23) + l_linenumber * 0.125D pz", "double(l_partkey % 19) + 0.25D py", "double(l_suppkey % 63) + 0.75D px")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey < 2000")  # the points of this query, all in the volume
+    pts = li.selectExpr("((l_orderkey % 23) * 10 + l_linenumber) * 10000 + l_partkey % 19 * 100 + l_suppkey % 63 id", "double(l_orderkey % 23) + l_linenumber * 0.125D pz", "double(l_partkey % 19) + 0.25D py", "double(l_suppkey % 63) + 0.75D px").distinct()
     return rounded(resample.trilinear(pts, fx.vox(spark, d), fx.shape(spark, d), ["id"]), 4)
 
 
