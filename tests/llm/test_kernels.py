@@ -121,7 +121,7 @@ def test_lcp_of_a_merge():
     strings = [b"banana", b"bandana"]
     shards = [suffixes.shard_bwt([s])[:2] for s in strings]
     lcp = []
-    rows, interval = suffixes.merge_intervals(shards, 3, lcp)
+    rows, interval = suffixes.merge_intervals(shards, 3, lcp=lcp)
     assert len(rows) == 5 and len(set(interval.tolist())) == 2  # "ana" three times, "ban" twice
     assert [d for d, _ in lcp] == [1, 2, 3]
 

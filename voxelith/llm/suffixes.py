@@ -95,14 +95,23 @@ def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8) + np.uint8(1)
     ends = np.flatnonzero(text == 0)
     n, m = len(text), len(ends)
-    rank = text.astype(np.int64) + m
+    own = np.repeat(ends, np.diff(ends, prepend=-1))  # the terminator of each suffix
+    # first by seven symbols at once; symbols after the terminator don't count
+    padded = np.concatenate([text, np.zeros(7, np.uint8)])
+    key = np.zeros(n, np.int64)
+    inside = np.ones(n, bool)
+    for k in range(7):
+        key = key << 8 | np.where(inside, padded[k : n + k], 0)
+        inside &= padded[k : n + k] != 0
+    order = np.argsort(key)
+    live = order[_shared(key[order])]
+    rank = _dense(key, order)
     rank[ends] = np.arange(m)
-    step, order = 1, np.argsort(rank, kind="stable")
-    live = order[_shared(rank[order])]
-    rank = _dense(rank, order)
+    live = live[text[live] != 0]
+    step = 7
     while len(live):
-        key = rank[live] * (n + 1) + rank[np.minimum(live + step, n - 1)]
-        by = np.argsort(key, kind="stable")
+        key = rank[live] * (n + 1) + rank[np.minimum(live + step, own[live])]
+        by = np.argsort(key)
         live, key = live[by], key[by]
         base = rank[live]
         start = np.flatnonzero(np.diff(base, prepend=-1))
@@ -136,16 +145,19 @@ def _dense(values: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_intervals(shards: list[tuple[np.ndarray, np.ndarray]], length: int, lcp: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+def merge_intervals(shards: list[tuple[np.ndarray, np.ndarray]], length: int, first: np.ndarray | None = None, lcp: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the shards' transforms, interleaved, whose suffixes share ``length`` symbols; and their intervals.
 
-    Rows are numbered through all shards. ``lcp``, if a list, gets (round, rows that parted in it) with the common
-    prefix of those rows and their former neighbours, round - 1.
+    Rows are numbered through all shards. Refinement begins with the rows ``first`` (all, if None): those whose
+    suffix has ``length`` symbols before it, as others would drop out at a string's start before the last round.
+    ``lcp``, if a list, gets (round, rows that parted in it) with the common prefix of those rows and their former
+    neighbours, round - 1.
     """
     sizes = np.cumsum([0, *(len(s) for s, _ in shards)])
     symbols = np.concatenate([s for s, _ in shards])
     lf = np.concatenate([f + a for (_, f), a in zip(shards, sizes, strict=False)]).astype(np.int32)
-    rows, interval = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    rows = np.arange(len(symbols), dtype=np.int32) if first is None else first.astype(np.int32)
+    interval = np.zeros(len(rows), np.int32)
     for depth in range(1, length + 1):
         before = symbols[rows]
         real = before != 0
@@ -170,8 +182,7 @@ def merge_intervals(shards: list[tuple[np.ndarray, np.ndarray]], length: int, lc
 
 def repeated_starts(strings: list[bytes], length: int = LENGTH, shard: int = 1 << 18) -> list[np.ndarray]:
     """Of each string, the starts of its substrings of ``length`` bytes that occur at two places in all strings."""
-    shards, orders, base, held, total, at = [], [], 0, [], 0, 0
-    bases = []
+    shards, orders, held, total, at = [], [], [], 0, 0
     for i, s in enumerate(strings):
         held.append(s)
         total += len(s) + 1
@@ -181,9 +192,11 @@ def repeated_starts(strings: list[bytes], length: int = LENGTH, shard: int = 1 <
             orders.append(order + at)
             at += total
             held, total = [], 0
-    rows, _ = merge_intervals(shards, length)
-    hits = np.sort(np.concatenate(orders)[rows])
+    suffix = np.concatenate(orders)
     bases = np.cumsum([0, *(len(s) + 1 for s in strings)])
+    within = np.arange(bases[-1]) - np.repeat(bases[:-1], np.diff(bases))
+    rows, _ = merge_intervals(shards, length, np.flatnonzero(within[suffix] >= length))
+    hits = np.sort(suffix[rows])
     owner = np.searchsorted(bases, hits, side="right") - 1
     local = hits - bases[owner]
     cuts = np.searchsorted(owner, np.arange(len(strings) + 1))
@@ -223,12 +236,13 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     free(spark)
     mixed = hits.where("not one")
     kinds = mixed.groupBy("h", "d").agg(F.count("*").alias("rows"), F.min(F.struct("uid", "first", "n")).alias("at"))
-    per_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"))
-    kinds = stored(kinds.join(per_anchor, "h").select("h", "d", "rows", "kinds", "at.*"), "segments")
+    per_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("rows").alias("least"))
+    kinds = stored(kinds.join(per_anchor, "h").select("h", "d", "rows", "kinds", "least", "at.*"), "segments")
     free(spark)
     many = kinds.where("rows > 1").select("h", "d")
     whole = hits.where("one").select("uid", "first", "n").unionByName(mixed.join(many, ["h", "d"], "left_semi").select("uid", "first", "n"))
-    fetched = _fetch(keyed, kinds, length)
+    # segments that occur twice are repeated whole; strings of the others have to be found
+    fetched = _fetch(keyed, kinds.where("least = 1"), length)
     merged = _merge(spark, fetched.where(F.col("kinds") <= group), length)
     digested = _digest(fetched.where(F.col("kinds") > group), length)
     spans = whole.select("uid", "first", F.col("n").cast("long").alias("n")).unionByName(merged).unionByName(digested)
