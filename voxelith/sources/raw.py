@@ -70,8 +70,8 @@ def load_slices(spark: SparkSession, path: str, z: tuple[int, int], slab: int =
 
 def with_halo(vol: DataFrame, slab: int, halo: int) -> DataFrame:
     """Each voxel once for every slab whose slices, with ``halo`` more on both sides, hold it."""
-    lo, hi = F.expr(f"greatest(0, z - {halo}) div {slab}"), F.expr(f"(z + {halo}) div {slab}")
-    return vol.withColumn("slab", F.explode(F.sequence(lo, hi)).cast("int"))
+    lo, hi = F.expr(f"cast(greatest(0, z - {halo}) div {slab} as int)"), F.expr(f"cast((z + {halo}) div {slab} as int)")
+    return vol.withColumn("slab", F.explode(F.sequence(lo, hi)))
 
 
 def edf_header(data: bytes) -> dict[str, str]:
