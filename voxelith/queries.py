@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from voxelith.plans import composite, queries_geometry, queries_histogram, queries_stencil, queries_voxels
+from voxelith.plans import composite, queries_geometry, queries_histogram, queries_more, queries_stencil, queries_voxels
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (queries_voxels, queries_geometry, queries_histogram, queries_stencil, composite):
+for module in (queries_voxels, queries_geometry, queries_histogram, queries_more, queries_stencil, queries_more, composite):
     QUERIES |= module.REGISTRY.queries
     ORACLES |= module.REGISTRY.oracles
