@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.texts import hashed_ngrams, slices, unit_hash
+from voxelith.llm.texts import hashed_ngrams, release, slices, unit_hash
 
 LETTER = regex.compile(r"\p{L}")
 ORDERS = (1, 2, 3)
@@ -62,6 +62,7 @@ def train_language_model(labelled: DataFrame, *, text: str = "text", lang: str =
     sample = rows.where(unit_hash(F.col("text"), seed=seed) < share[F.col("lang")])
 
     def count(batches):
+        release()
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
             for name, texts in pdf.groupby("lang")["text"]:
@@ -106,6 +107,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, doc_id: str = "
     source = docs.select(*cols, F.col(text).alias("__text"))
 
     def score(batches):
+        release()
         for pdf in batches:
             names, posterior = predict(list(pdf.pop("__text")), sent.value)
             yield pdf.assign(lang_pred=names, score=posterior)

@@ -40,7 +40,7 @@ class PieceIds:
     time. Texts with other white space are cut only where a single space stands between other characters.
     """
 
-    def __init__(self, tokenizer, limit: int = 180_000_000, slice_chars: int = 1 << 20):
+    def __init__(self, tokenizer, limit: int = 120_000_000, slice_chars: int = 1 << 20):
         self.tokenizer, self.limit, self.slice_chars, self.held = tokenizer, limit, slice_chars, 0
         self.tables: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
         self.feed = self.encode("\n")
@@ -89,7 +89,7 @@ class PieceIds:
 
 @cache
 def piece_ids(tokenizer: str) -> PieceIds:
-    """The tables of a tokenizer's file; a worker keeps them from task to task."""
+    """The tables of a tokenizer's file; a worker keeps them from task to task, until another operator releases them."""
     from tokenizers import Tokenizer
 
     return PieceIds(Tokenizer.from_file(tokenizer))

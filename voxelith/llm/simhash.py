@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from voxelith.llm.graph import components
 from voxelith.llm.storage import free, stored
+from voxelith.llm.texts import release
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -61,6 +62,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text"))
 
     def run(batches):
+        release()
         for pdf in batches:
             fps = np.array([fingerprint(t, width) for t in pdf.pop("__text")], np.uint64)
             yield pdf.assign(fp=fps.view(np.int64))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelith.llm.storage import free, stored
+from voxelith.llm.texts import release
 
 LENGTH = 200
 GRAM = 40
@@ -219,6 +220,7 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     keyed = docs.select(row_key(doc_id, text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def cut(batches):
+        release()
         for pdf in batches:
             found = [segments(t.encode(), length, gram) for t in pdf["text"]]
             if n := sum(len(x[0]) for x in found):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,6 +18,13 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def release() -> None:
+    """Drop what an earlier stage has left in this Python worker: the packing operator's word ids."""
+    packing = sys.modules.get("voxelith.llm.packing")
+    if packing is not None:
+        packing.piece_ids.cache_clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
