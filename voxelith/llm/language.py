@@ -50,25 +50,30 @@ def _blocks(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarra
 def train_language_model(labelled: DataFrame, *, text: str = "text", lang: str = "lang", bits: int = 15, rows_per_language: int = 4000, seed: int = 7) -> LanguageModel:
     """Learn from rows with a language and a text.
 
-    ``rows_per_language`` bounds the sample of each language that is counted (in expectation, by a hash of the
-    text); it is the only bound.
+    ``rows_per_language`` bounds the sample of each language that is counted; it is the only bound. A text of c rows
+    counts as c times the share sampled, rounded up or down by a hash of the text: copies neither leave the sample nor
+    enter it together, and no language with a text is left out.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    copies = rows.groupBy("lang", "h").agg(F.count("*").alias("c"))
+    sizes = {r["lang"]: r["n"] for r in copies.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return LanguageModel([], np.zeros((1 << bits, 0)), np.zeros(0), bits)
-    share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(rows_per_language / sizes[k]))])
-    sample = rows.where(unit_hash(F.col("text"), seed=seed) < share[F.col("lang")])
+    share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, rows_per_language / sizes[k])))])
+    weight = F.least("c", F.floor(F.col("c") * share[F.col("lang")] + unit_hash(F.col("h"), seed=seed)))
+    chosen = copies.withColumn("w", weight).where("w > 0").drop("c")
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"), F.first("w").alias("w")).select("lang", "text", "w")
 
     def count(batches):
         release()
         total: dict[str, np.ndarray] = {}
         for pdf in batches:
-            for name, texts in pdf.groupby("lang")["text"]:
-                acc = total.setdefault(name, np.zeros(1 << bits, np.int64))
-                for _, bucket in _blocks(list(texts), bits):
-                    acc += np.bincount(bucket, minlength=1 << bits)
+            for name, part in pdf.groupby("lang"):
+                acc, w = total.setdefault(name, np.zeros(1 << bits, np.int64)), part["w"].to_numpy(float)
+                for owner, bucket in _blocks(list(part["text"]), bits):
+                    acc += np.bincount(bucket, w[owner], 1 << bits).astype(np.int64)
         for name, acc in total.items():
             used = np.flatnonzero(acc)
             yield pd.DataFrame({"lang": name, "bucket": used.astype(np.int32), "n": acc[used]})
