@@ -173,6 +173,18 @@ def r1_trilinear(spark, d):
     return rounded(resample.trilinear(pts, fx.vox(spark, d), fx.shape(spark, d), ["id"]), 4)
 
 
+#: The points of all rows.
+PTS_ALL = PTS.replace(" WHERE l_orderkey < 2000", "")
+
+
+@query("vox dim", f"WITH {PTS_ALL}, {tri('z', 'nz')}, {tri('y', '20')}, {tri('x', '64')} SELECT cz.id AS id, round(sum(cz.w * cy.w * cx.w * coalesce(v, 0)), 4) AS value FROM cz JOIN cy USING (id) JOIN cx USING (id) LEFT JOIN vox ON vox.z = least(cz.i, (SELECT nz - 1 FROM dim)) AND vox.y = least(cy.i, 19) AND vox.x = least(cx.i, 63) WHERE cz.w * cy.w * cx.w > 0 GROUP BY 1")
+def r1_trilinear_all(spark, d):
+    """The points of all rows; those outside the volume take its nearest voxel."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    pts = li.selectExpr("((l_orderkey % 23) * 10 + l_linenumber) * 10000 + l_partkey % 19 * 100 + l_suppkey % 63 id", "double(l_orderkey % 23) + l_linenumber * 0.125D pz", "double(l_partkey % 19) + 0.25D py", "double(l_suppkey % 63) + 0.75D px").distinct()
+    return rounded(resample.trilinear(pts, fx.vox(spark, d), fx.shape(spark, d), ["id"]), 4)
+
+
 @query()
 def r2_sample_plane(spark, d):
     n = fx.shape(spark, d)
