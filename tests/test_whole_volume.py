@@ -27,3 +27,44 @@ def test_whole_table_oracle(spark, name):
     keys = list(got.columns[:3] if "z" in got.columns else got.columns[:1])
     got, want = (f.sort_values(keys).to_numpy(float) for f in (got, want))
     assert got.shape == want.shape and (got == want).all()
+
+
+def volume(spark):
+    v = np.zeros(fx.shape(spark, SMALL), np.int64)
+    p = fx.vox(spark, SMALL).toPandas()
+    v[p["z"], p["y"], p["x"]] = p["v"]
+    return v
+
+
+def parts(solid):
+    """Components by flood fill: arrays of voxels."""
+    left, out = {tuple(p) for p in np.argwhere(solid).tolist()}, []
+    while left:
+        part = [left.pop()]
+        for z, y, x in part:
+            near = {(z + 1, y, x), (z - 1, y, x), (z, y + 1, x), (z, y - 1, x), (z, y, x + 1), (z, y, x - 1)} & left
+            left -= near
+            part += near
+        out.append(sorted(part))
+    return out
+
+
+def test_components_of_the_whole_volume(spark):
+    got = sorted(tuple(r)[-4:] for r in own.QUERIES["c4_components"](spark, SMALL).select("z", "y", "x", "n").collect())
+    assert got == sorted((*p[0], len(p)) for p in parts(volume(spark) > 32000))
+
+
+def test_largest_component_of_the_whole_volume(spark):
+    got = sorted(tuple(r) for r in own.QUERIES["c7_largest_component"](spark, SMALL).select("z", "y", "x").collect())
+    found = parts(volume(spark) > 34000)
+    most = max(map(len, found))
+    assert got in [p for p in found if len(p) == most]
+
+
+def test_distances_in_the_whole_volume(spark):
+    v = volume(spark)
+    solid = np.argwhere(v > 55000)
+    got = own.QUERIES["m12_distance"](spark, SMALL).toPandas()
+    at = got[["z", "y", "x"]].to_numpy()
+    d2 = np.concatenate([((a[:, None] - solid) ** 2).sum(-1).min(1) for a in np.array_split(at, 64)])
+    assert len(got) == v.size and (got["f"] == np.floor(np.sqrt(d2))).all()

@@ -227,6 +227,12 @@ def c7_largest_component_box(spark, d):
     return components.largest_mask(fx.box(fx.vox(spark, d)).where("v > 34000"), slab=3)
 
 
+@query()
+def c7_largest_component(spark, d):
+    """The largest component of the whole volume."""
+    return components.largest_mask(mask(spark, d, 34000), slab=5)
+
+
 @query("lab", "SELECT label, count(*) AS n FROM lab WHERE label <> 0 GROUP BY 1 ORDER BY n DESC, label LIMIT 1")
 def c6_largest_label(spark, d):
     return components.largest_component(fx.labels(spark, d))
