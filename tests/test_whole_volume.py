@@ -12,7 +12,7 @@ SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "lineitem embeddings".split()
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="no test tables here")
-WHOLE = ["r1_trilinear_all"]
+WHOLE = ["r1_trilinear_all", "g4_inertias_all", "g16_eigenvalues_all"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
@@ -68,3 +68,8 @@ def test_distances_in_the_whole_volume(spark):
     at = got[["z", "y", "x"]].to_numpy()
     d2 = np.concatenate([((a[:, None] - solid) ** 2).sum(-1).min(1) for a in np.array_split(at, 64)])
     assert len(got) == v.size and (got["f"] == np.floor(np.sqrt(d2))).all()
+
+
+def test_ellipsoids_take_all_slices(spark):
+    got = {r.label: r.n for r in own.QUERIES["g22_ellipsoids"](spark, SF).collect()}
+    assert got == {r.label: r["count"] for r in fx.labels(spark, SF).where("label <> 0").groupBy("label").count().collect()}

@@ -46,6 +46,13 @@ def g4_inertias(spark, d):
     return rounded(g.inertias(fx.labels(spark, d).where("z < 10")), 1)
 
 
+@query("lab", f"""WITH b AS (SELECT *, CAST(1 AS INT) m FROM lab), c AS (SELECT label, avg(z) cz, avg(y) cy, avg(x) cx FROM b GROUP BY 1),
+t AS (SELECT label, {TENSOR} FROM b JOIN c USING (label) GROUP BY 1) SELECT label, {ROUND6} FROM t""")
+def g4_inertias_all(spark, d):
+    """All slices."""
+    return rounded(g.inertias(fx.labels(spark, d)), 1)
+
+
 @query("vox", """WITH p AS (SELECT round(CAST(0.6 AS DOUBLE) * (x - 32) + CAST(0.8 AS DOUBLE) * (y - 10) + 30) i, round(CAST(z - 12 AS DOUBLE) + 12) j, v FROM vox)
 SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(sum(v) AS BIGINT) AS total FROM p WHERE i BETWEEN 0 AND 59 AND j BETWEEN 0 AND 24 GROUP BY 1, 2""")
 def g5_integrate_axes(spark, d):
@@ -160,6 +167,16 @@ def g16_eigenvalues(spark, d):
     return rounded(g.eigenvalues(g.inertias(fx.labels(spark, d).where("z < 10")), ["label"]), 1)
 
 
+@query("lab", f"""WITH b AS (SELECT *, CAST(1 AS INT) m FROM lab), c AS (SELECT label, avg(z) cz, avg(y) cy, avg(x) cx FROM b GROUP BY 1),
+t AS (SELECT label, {TENSOR} FROM b JOIN c USING (label) GROUP BY 1), q AS (SELECT *, (izz + iyy + ixx) / 3 q, izy * izy + izx * izx + iyx * iyx o FROM t),
+p AS (SELECT *, sqrt(((izz - q) * (izz - q) + (iyy - q) * (iyy - q) + (ixx - q) * (ixx - q) + 2 * o) / 6) p FROM q),
+r AS (SELECT *, acos(greatest(-1, least(1, ((izz - q) * ((iyy - q) * (ixx - q) - iyx * iyx) - izy * (izy * (ixx - q) - iyx * izx) + izx * (izy * iyx - (iyy - q) * izx)) / (2 * p * p * p)))) / 3 phi FROM p)
+SELECT label, round(q + 2 * p * cos(phi + 2 * pi() / 3), 1) AS e1, round(3 * q - (q + 2 * p * cos(phi)) - (q + 2 * p * cos(phi + 2 * pi() / 3)), 1) AS e2, round(q + 2 * p * cos(phi), 1) AS e3 FROM r""")
+def g16_eigenvalues_all(spark, d):
+    """All slices."""
+    return rounded(g.eigenvalues(g.inertias(fx.labels(spark, d)), ["label"]), 1)
+
+
 SLABS = """s AS (SELECT CAST(least(floor((u - 0) / (25 - 0) * 5), 4) AS INT) slab, min(v_) lo, max(v_) hi, max(w) top, avg(u) u FROM p WHERE m > 0 AND u BETWEEN 0 AND 25 GROUP BY 1),
 pts AS (SELECT slab, u, CAST(0 AS DOUBLE) x1, top y1, lo x2, CAST(0 AS DOUBLE) y2, hi x3, CAST(0 AS DOUBLE) y3 FROM s)"""
 
