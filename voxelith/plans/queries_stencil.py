@@ -131,6 +131,14 @@ def d20_local_threshold(spark, d):
     return rounded(stencil.local_threshold(fx.vox(spark, d).where("z < 5"), 2), 4)
 
 
+@query("vox", """WITH a AS (SELECT z, y, x, v, sum(CAST(v AS DOUBLE)) OVER w s, sum(CAST(v AS DOUBLE) * v) OVER w q, count(*) OVER w n FROM vox WINDOW w AS (PARTITION BY z, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+b AS (SELECT z, y, x, v, sum(s) OVER w s, sum(q) OVER w q, CAST(sum(n) OVER w AS DOUBLE) n FROM a WINDOW w AS (PARTITION BY z, x ORDER BY y RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+SELECT z, y, x, v, round(s / n * (1 + CAST(0.2 AS DOUBLE) * (sqrt(greatest(0, q / n - s / n * (s / n))) / 32768 - 1)), 4) AS t FROM b""")
+def d20_local_threshold_all(spark, d):
+    """The adaptive threshold of every slice."""
+    return rounded(stencil.local_threshold(fx.vox(spark, d), 2), 4)
+
+
 CYL = "(CAST({c} AS DOUBLE) * 2 / {n} - 1) * (CAST({c} AS DOUBLE) * 2 / {n} - 1)"
 
 
