@@ -12,7 +12,7 @@ SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 TABLES = "lineitem embeddings".split()
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="no test tables here")
-WHOLE = ["r1_trilinear_all", "g4_inertias_all", "g16_eigenvalues_all", "d20_local_threshold_all"]
+WHOLE = ["r1_trilinear_all", "g4_inertias_all", "g16_eigenvalues_all", "d20_local_threshold_all", "s21_replace_partition_all"]
 
 
 @pytest.mark.parametrize("name", WHOLE)

@@ -41,6 +41,19 @@ def s21_replace_partition(spark, d):
     return raw.load_slices(spark, path, (0, 6), 2).select(*ZYX, "v")
 
 
+@query("vox", "SELECT z, y, x, v FROM vox")
+def s21_replace_partition_all(spark, d):
+    """The same over the whole volume: every slab but the first is written twice, and all slices are read back."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    path, v, slab = f"{root}/volume-{uuid.uuid4().hex}", fx.vox(spark, d), 8
+    raw.write_slices(v.withColumn("v", F.when(F.col("z") >= slab, 7).otherwise(F.col("v"))), path, slab)
+    raw.write_slices(v.where(F.col("z") >= slab), path, slab)
+    return raw.load_slices(spark, path, (0, fx.shape(spark, d)[0]), slab).select(*ZYX, "v")
+
+
 @query("vox", "SELECT z, y, x FROM vox")
 def u16_coordinates(spark, d):
     return fx.vox(spark, d).select(*ZYX)
