@@ -35,7 +35,7 @@ def lower_envelope(cost: np.ndarray) -> np.ndarray:
 
 
 def squared_distances(mask: DataFrame, shape: Shape, lines: int = 64) -> DataFrame:
-    """Squared distance (z, y, x, d2) of every voxel to the mask; no rows if the mask is empty.
+    """Squared distance (z, y, x, d2) of every voxel to the mask; no rows if no voxel of the mask lies in the volume.
 
     Lines along x need only the mask's rows, lines along y and z those of the voxels reached so far. A group is a
     strip of up to ``lines`` lines, so each of the three shuffles has many groups and each group fits in memory.
@@ -57,7 +57,10 @@ def squared_distances(mask: DataFrame, shape: Shape, lines: int = 64) -> DataFra
 
         return [outer, F.expr(f"{inner} div {lines}").alias("__strip")], run
 
-    field = mask.select(*ZYX).distinct().withColumn("d2", F.lit(0.0))
+    inside = F.lit(True)
+    for c, n in zip(ZYX, shape, strict=True):
+        inside = inside & F.col(c).between(0, n - 1)
+    field = mask.select(*ZYX).where(inside).distinct().withColumn("d2", F.lit(0.0))
     for axis in ("x", "y", "z"):
         keys, run = along(axis)
         field = field.groupBy(*keys).applyInPandas(run, kinds)

@@ -13,9 +13,19 @@ def vox(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.expr("cast(vec_id div 20 as int)").alias("z"), F.expr("cast(vec_id % 20 as int)").alias("y"), "x", v.alias("v"))
 
 
+def lines(spark: SparkSession, d: str) -> int:
+    """Lines (z, y) of ``vox``: its last slice may hold fewer than the others."""
+    return (spark.read.parquet(f"{d}/embeddings.parquet").agg(F.max("vec_id")).first()[0] or -1) + 1
+
+
 def shape(spark: SparkSession, d: str) -> tuple[int, int, int]:
-    """Shape of ``vox``, from the count of vectors."""
-    return spark.read.parquet(f"{d}/embeddings.parquet").count() // 20, 20, 64
+    """Shape of the complete slices of ``vox``."""
+    return lines(spark, d) // 20, 20, 64
+
+
+def extent(spark: SparkSession, d: str) -> tuple[int, int, int]:
+    """Shape that holds all rows of ``vox``, those of an incomplete last slice too."""
+    return -(-lines(spark, d) // 20), 20, 64
 
 
 def svox(spark: SparkSession, d: str) -> DataFrame:

@@ -122,7 +122,7 @@ def m12_distance_box(spark, d):
 
 @query()
 def m12_distance(spark, d):
-    return distance.distances(mask(spark, d, 55000), fx.shape(spark, d))
+    return distance.distances(mask(spark, d, 55000), fx.extent(spark, d))
 
 
 @query("vox", """WITH s AS (SELECT a.z, a.y, a.x, a.v, avg(CAST(b.v AS DOUBLE)) m, sqrt(greatest(0, avg(CAST(b.v AS DOUBLE) * b.v) - avg(CAST(b.v AS DOUBLE)) * avg(CAST(b.v AS DOUBLE)))) sd
