@@ -92,7 +92,7 @@ def q3_bone_region(spark, d):
 @query()
 def q5_fields(spark, d):
     """Diffusion and distance around the mask, combined."""
-    n = fx.shape(spark, d)
+    n = fx.extent(spark, d)
     m = fx.vox(spark, d).where("v > 58000").select(*ZYX)
     return voxels.combine_fields(stencil.diffuse(m, 1.0, 2, n, 2), distance.distances(m, n), n[1], n[2])
 
