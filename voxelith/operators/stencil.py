@@ -99,7 +99,7 @@ def dilate_box(mask: DataFrame, passes: int, shape: Shape, axes: tuple[str, ...]
 
 
 def dilate_cross(mask: DataFrame, passes: int, shape: Shape, axes: tuple[str, ...] = ("z", "y", "x")) -> DataFrame:
-    """``passes`` steps to face neighbours along ``axes``: all voxels within that many steps."""
+    """``passes`` steps to face neighbours along ``axes``: all voxels within that many steps, bounded by the shape along ``axes``."""
     moves = []
     ranges = [range(-passes, passes + 1) if a in axes else (0,) for a in ZYX]
     for dz in ranges[0]:
@@ -111,7 +111,7 @@ def dilate_cross(mask: DataFrame, passes: int, shape: Shape, axes: tuple[str, ..
     moved = mask.select(*ZYX).select("*", F.explode(offsets).alias("o")).select(*[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in ZYX])
     inside = F.lit(True)
     for c, n in zip(ZYX, shape, strict=True):
-        inside = inside & F.col(c).between(0, n - 1)
+        inside = inside & F.col(c).between(0, n - 1) if c in axes else inside
     return moved.where(inside).distinct()
 
 

@@ -15,7 +15,7 @@ def vox(spark: SparkSession, d: str) -> DataFrame:
 
 def lines(spark: SparkSession, d: str) -> int:
     """Lines (z, y) of ``vox``: its last slice may hold fewer than the others."""
-    return (spark.read.parquet(f"{d}/embeddings.parquet").agg(F.max("vec_id")).first()[0] or -1) + 1
+    return spark.read.parquet(f"{d}/embeddings.parquet").agg(F.coalesce(F.max("vec_id") + 1, F.lit(0))).first()[0]
 
 
 def shape(spark: SparkSession, d: str) -> tuple[int, int, int]:
