@@ -46,34 +46,58 @@ def _expand(runs: DataFrame) -> DataFrame:
 
 def dilate(mask: DataFrame, radius: float, shape: Shape) -> DataFrame:
     """All voxels of the volume within ``radius`` of the mask."""
+    return _expand(_grown(intervals(mask), radius, shape))
+
+
+def _grown(found: DataFrame, radius: float, shape: Shape) -> DataFrame:
+    """Intervals moved and widened by each run of a sphere, within the volume."""
     nz, ny, nx = shape
     runs = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), F.lit(w).alias("w")) for dz, dy, w in sphere_runs(radius)])
-    moved = intervals(mask).select("*", F.explode(runs).alias("o"))
+    moved = found.select("*", F.explode(runs).alias("o"))
     moved = moved.select((F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), F.greatest(F.lit(0), F.col("a") - F.col("o.w")).alias("a"), F.least(F.lit(nx - 1), F.col("b") + F.col("o.w")).alias("b"))
-    return _expand(moved.where(F.col("z").between(0, nz - 1) & F.col("y").between(0, ny - 1)))
+    return moved.where(F.col("z").between(0, nz - 1) & F.col("y").between(0, ny - 1))
 
 
-def everywhere(mask: DataFrame, shape: Shape) -> DataFrame:
-    """All voxels of the volume."""
+def gaps(mask: DataFrame, shape: Shape, lines: int | None = None) -> DataFrame:
+    """Maximal runs (z, y, a, b) along x that the mask leaves out of the volume's first ``lines`` lines (z, y), all by default."""
     nz, ny, nx = shape
-    return mask.sparkSession.range(nz * ny * nx).select(F.expr(f"cast(id div {ny * nx} as int)").alias("z"), F.expr(f"cast(id div {nx} % {ny} as int)").alias("y"), F.expr(f"cast(id % {nx} as int)").alias("x"))
+    count = max(nz * ny, lines or 0)
+    inside = F.col("z").between(0, (count - 1) // ny) & (F.col("z") * ny + F.col("y") < count) & F.col("y").between(0, ny - 1) & F.col("x").between(0, nx - 1)
+    every = mask.sparkSession.range(count).select(F.expr(f"cast(id div {ny} as int)").alias("z"), F.expr(f"cast(id % {ny} as int)").alias("y"))
+    ends = [every.select("z", "y", F.lit(k).alias("a"), F.lit(k).alias("b")) for k in (-1, nx)]
+    w = Window.partitionBy("z", "y").orderBy("a")
+    runs = intervals(mask.where(inside)).union(ends[0]).union(ends[1]).withColumn("lo", F.lag("b").over(w) + 1)
+    return runs.where("lo < a").select("z", "y", F.col("lo").alias("a"), (F.col("a") - 1).alias("b"))
+
 
+def complement(mask: DataFrame, shape: Shape, lines: int | None = None) -> DataFrame:
+    return gaps(mask, shape, lines).select("z", "y", F.explode(F.sequence("a", "b")).alias("x"))
 
-def complement(mask: DataFrame, shape: Shape) -> DataFrame:
-    return mask_and_not(everywhere(mask, shape), mask)
 
+def erode(mask: DataFrame, radius: float, shape: Shape, lines: int | None = None) -> DataFrame:
+    """Voxels of the mask all of whose neighbours within ``radius`` are in it; what lies outside the volume counts as in.
 
-def erode(mask: DataFrame, radius: float, shape: Shape) -> DataFrame:
-    """Voxels of the mask all of whose neighbours within ``radius`` are in it; what lies outside the volume counts as in."""
-    return mask_and_not(mask.select(*ZYX), dilate(complement(mask, shape), radius, shape))
+    The gaps of the mask are grown, and what they leave of each line is the result: no dense volume is built. A
+    volume whose last slice is incomplete has ``lines`` lines, beyond the complete slices of its shape; the mask's
+    voxels outside the shape stay as they are.
+    """
+    nz, ny, nx = shape
+    inside = F.col("z").between(0, nz - 1) & F.col("y").between(0, ny - 1) & F.col("x").between(0, nx - 1)
+    grown = _grown(gaps(mask, shape, lines), radius, shape)
+    held = mask.where(inside).select("z", "y").distinct()
+    ends = held.select("z", "y", F.lit(nx).alias("a"), F.lit(nx).alias("b"))
+    w = Window.partitionBy("z", "y").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    left = grown.union(ends).withColumn("lo", F.coalesce(F.max("b").over(w) + 1, F.lit(0))).where("lo < a")
+    kept = left.select("z", "y", F.explode(F.sequence("lo", F.col("a") - 1)).alias("x"))
+    return kept.union(mask.where(~inside).select(*ZYX).distinct())
 
 
-def opened(mask: DataFrame, radius: float, shape: Shape) -> DataFrame:
-    return dilate(erode(mask, radius, shape), radius, shape)
+def opened(mask: DataFrame, radius: float, shape: Shape, lines: int | None = None) -> DataFrame:
+    return dilate(erode(mask, radius, shape, lines), radius, shape)
 
 
-def closed(mask: DataFrame, radius: float, shape: Shape) -> DataFrame:
-    return erode(dilate(mask, radius, shape), radius, shape)
+def closed(mask: DataFrame, radius: float, shape: Shape, lines: int | None = None) -> DataFrame:
+    return erode(dilate(mask, radius, shape), radius, shape, lines)
 
 
 def split_radius(radius: int, part: int = 16) -> list[int]:

@@ -40,7 +40,7 @@ ERODE = f"{OFF2}, {minus('e', 'm', 'c')}, {dil('c', 'cd')}, {minus('m', 'cd', 'r
 
 @query("vox dim", f"WITH {LOW}, {ALL}, {ERODE} SELECT * FROM r")
 def m1_erode(spark, d):
-    return stencil.erode(mask(spark, d, 25000), 2, fx.shape(spark, d))
+    return stencil.erode(mask(spark, d, 25000), 2, fx.shape(spark, d), fx.lines(spark, d))
 
 
 @query("vox dim", f"WITH {LOW}, {ALL}, {ERODE}, {dil('r', 'q')} SELECT * FROM q")
