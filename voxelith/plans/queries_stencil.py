@@ -45,7 +45,7 @@ def m1_erode(spark, d):
 
 @query("vox dim", f"WITH {LOW}, {ALL}, {ERODE}, {dil('r', 'q')} SELECT * FROM q")
 def m5_open(spark, d):
-    return stencil.opened(mask(spark, d, 25000), 2, fx.shape(spark, d))
+    return stencil.opened(mask(spark, d, 25000), 2, fx.shape(spark, d), fx.lines(spark, d))
 
 
 @query("vox dim", f"WITH {MASK}, {ALL}, {OFF2}, {dil('m', 'd')}, {minus('e', 'd', 'c')}, {dil('c', 'cd')}, {minus('d', 'cd', 'q')} SELECT * FROM q")
