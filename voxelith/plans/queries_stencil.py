@@ -50,7 +50,7 @@ def m5_open(spark, d):
 
 @query("vox dim", f"WITH {MASK}, {ALL}, {OFF2}, {dil('m', 'd')}, {minus('e', 'd', 'c')}, {dil('c', 'cd')}, {minus('d', 'cd', 'q')} SELECT * FROM q")
 def m5_close(spark, d):
-    return stencil.closed(mask(spark, d), 2, fx.shape(spark, d))
+    return stencil.closed(mask(spark, d), 2, fx.shape(spark, d), fx.lines(spark, d))
 
 
 @query("vox dim", f"WITH {MASK}, {OFF2}, {dil('m', 'r')}, {dil('r', 'q')} SELECT * FROM q")
