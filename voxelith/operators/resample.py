@@ -30,12 +30,12 @@ def pyramid(vol: DataFrame, levels: int, shape: Shape) -> dict[int, DataFrame]:
     return out
 
 
-def upsample(field: DataFrame, factor: int, shape: Shape) -> DataFrame:
-    """Each voxel as a block; the last layer in z also fills the remainder."""
+def upsample(field: DataFrame, factor: int, shape: Shape, last: int | None = None) -> DataFrame:
+    """Each voxel as a block; the last layer in z, that of the last whole block by default, also fills the remainder."""
     nz = shape[0]
-    last = (nz // factor) - 1
+    last = (nz // factor) - 1 if last is None else last
     z1 = F.when(F.col("z") == last, F.lit(nz - 1)).otherwise(F.col("z") * factor + factor - 1)
-    out = field.withColumn("__z", F.explode(F.sequence(F.col("z") * factor, z1)))
+    out = field.where(F.col("z") <= last).withColumn("__z", F.explode(F.sequence(F.col("z") * factor, z1)))
     for c, n in (("y", shape[1]), ("x", shape[2])):
         out = out.withColumn(f"__{c}", F.explode(F.sequence(F.col(c) * factor, F.least(F.lit(n - 1), F.col(c) * factor + factor - 1))))
     return out.drop(*ZYX).withColumnsRenamed({f"__{c}": c for c in ZYX})

@@ -164,7 +164,9 @@ def r5_pyramid_4(spark, d):
 
 @query("vox field2 dim", "SELECT v.z, v.y, v.x, f.f FROM vox v, dim, field2 f WHERE f.z = least(v.z // 2, nz // 2 - 1) AND f.y = v.y // 2 AND f.x = v.x // 2")
 def r8_upsample(spark, d):
-    return resample.upsample(fx.field2(spark, d), 2, fx.shape(spark, d)).select(*ZYX, "f")
+    """The field at every voxel; of an incomplete last slice only the lines that are there."""
+    up = resample.upsample(fx.field2(spark, d), 2, fx.extent(spark, d), last=fx.shape(spark, d)[0] // 2 - 1)
+    return up.where(F.col("z") * 20 + F.col("y") < fx.lines(spark, d)).select(*ZYX, "f")
 
 
 PTS = "pt AS (SELECT DISTINCT ((l_orderkey % 23) * 10 + l_linenumber) * 10000 + l_partkey % 19 * 100 + l_suppkey % 63 id, CAST(l_orderkey % 23 AS DOUBLE) + l_linenumber * CAST(0.125 AS DOUBLE) pz, CAST(l_partkey % 19 AS DOUBLE) + CAST(0.25 AS DOUBLE) py, CAST(l_suppkey % 63 AS DOUBLE) + CAST(0.75 AS DOUBLE) px FROM lineitem WHERE l_orderkey < 2000)"
