@@ -37,7 +37,7 @@ def svox(spark: SparkSession, d: str) -> DataFrame:
 
 def field2(spark: SparkSession, d: str) -> DataFrame:
     """Coarse field at scale 2 of ``vox``; an odd last slice is dropped."""
-    nz = shape(spark, d)[0] // 2
+    nz = extent(spark, d)[0] // 2
     v = vox(spark, d).where(F.col("z") < 2 * nz)
     return v.groupBy(*[F.expr(f"cast({c} div 2 as int)").alias(c) for c in "zyx"]).agg(F.expr("cast(sum(v) div 8 as int)").alias("f"))
 
