@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,23 +158,44 @@ def fill_holes(mask: DataFrame, shape: Shape) -> DataFrame:
     return mask.select(*ZYX).union(inner).distinct()
 
 
-def convolve(field: DataFrame, weights: list[float], axis: str, shape: Shape, value: str = "f") -> DataFrame:
-    """Correlation along one axis with a zero border; zero voxels are absent."""
+def convolve(field: DataFrame, weights: list[float], axis: str, shape: Shape, value: str = "f", lines: int = 64, source: DataFrame | None = None) -> DataFrame:
+    """Correlation along one axis with a zero border; zero voxels are absent, and so are voxels that no weight reaches.
+
+    A task's group is a strip of up to ``lines`` lines, so every voxel is shuffled once, whatever the number of
+    weights. Voxels of ``source`` are set to one afterwards.
+    """
     n, r = shape[ZYX.index(axis)], len(weights) // 2
-    w = F.array(*map(F.lit, weights))
-    # a voxel at p reaches q = p + d with weight w[r - d]
-    reach = F.transform(F.sequence(F.greatest(F.lit(0), F.col(axis) - r), F.least(F.lit(n - 1), F.col(axis) + r)), lambda q: F.struct(q.alias("q"), (F.col(value) * F.element_at(w, (F.col(axis) - q + r + 1).cast("int"))).alias("s")))
-    dealt = field.select(*[c for c in ZYX if c != axis], F.explode(reach).alias("t"))
-    keys = [F.col("t.q").alias(c) if c == axis else F.col(c) for c in ZYX]
-    return dealt.groupBy(*keys).agg(F.sum("t.s").alias(value))
+    outer, inner = (c for c in ZYX if c != axis)
+    rows = field.select(*ZYX, F.col(value).cast("double").alias("f"))
+    if source is not None:
+        rows = rows.union(source.select(*ZYX, F.lit(None).cast("double")))
+
+    def run(pdf):
+        own, line = np.unique(pdf[inner].to_numpy(), return_inverse=True)
+        place, f = pdf[axis].to_numpy() + r, pdf["f"].to_numpy()
+        given = ~np.isnan(f)
+        held, near = np.zeros((len(own), n + 2 * r)), np.zeros((len(own), n + 2 * r + 1), np.int32)
+        held[line[given], place[given]] = f[given]
+        near[line[given], place[given] + 1] = 1
+        near = near.cumsum(1)
+        out = sum(w * held[:, k : k + n] for k, w in enumerate(weights))
+        reached = near[:, 2 * r + 1 :] > near[:, :n]
+        if not given.all():
+            inside = ~given & (place >= r) & (place < n + r)
+            out[line[inside], place[inside] - r] = 1.0
+        i, p = np.nonzero(reached)
+        cols = {outer: np.full(len(i), pdf[outer].iloc[0], np.int32), inner: own[i].astype(np.int32), axis: p.astype(np.int32)}
+        return pd.DataFrame({**{c: cols[c] for c in ZYX}, "f": out[i, p]})
+
+    strips = rows.where(F.col(axis).between(-r, n - 1 + r)).groupBy(outer, F.expr(f"{inner} div {lines}").alias("__strip"))
+    return strips.applyInPandas(run, "z int, y int, x int, f double").withColumnRenamed("f", value)
 
 
 def diffusion_step(field: DataFrame, source: DataFrame, weights: list[float], shape: Shape) -> DataFrame:
-    """Three passes, then the source is set to one again."""
+    """Three passes; the source within the volume is then set to one again."""
     for axis in ZYX:
-        field = convolve(field, weights, axis, shape)
-    lit = source.select(*ZYX, F.lit(1.0).alias("s"))
-    return field.join(lit, ZYX, "full").select(*ZYX, F.coalesce("s", "f").alias("f"))
+        field = convolve(field, weights, axis, shape, source=source if axis == "x" else None)
+    return field
 
 
 def diffuse(mask: DataFrame, sigma: float, repetitions: int, shape: Shape, radius: int | None = None, every: int = 4) -> DataFrame:
