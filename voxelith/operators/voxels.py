@@ -105,12 +105,15 @@ def value_bounds(vol: DataFrame, column: str = "v") -> DataFrame:
 
 
 def combine_fields(gauss: DataFrame, edt: DataFrame, ny: int, nx: int) -> DataFrame:
-    """g / max g - e / max e, moved to zero, scaled to one, within the cylinder, as 16 bits: three passes."""
+    """g / max g - e / max e, moved to zero, scaled to one, within the cylinder, as 16 bits: three passes.
+
+    A field that is zero everywhere stays zero; fields that share no voxel give no rows.
+    """
     both = gauss.select(*ZYX, F.col("f").alias("g")).join(edt.select(*ZYX, F.col("f").alias("e")), ZYX)
     gm, em = both.agg(F.max("g"), F.max("e")).first()
-    raw = both.withColumn("c", dbl(F.col("g")) / float(gm) - dbl(F.col("e")) / float(em))
-    lo, hi = raw.agg(F.min("c"), F.max("c")).first()
-    moved = (F.col("c") + abs(lo)) / (hi + abs(lo))
+    raw = both.withColumn("c", dbl(F.col("g")) / float(gm or 1) - dbl(F.col("e")) / float(em or 1))
+    lo, hi = (x or 0.0 for x in raw.agg(F.min("c"), F.max("c")).first())
+    moved = (F.col("c") + abs(lo)) / (hi + abs(lo) or 1.0)
     return raw.where(cylinder(F.col("y"), F.col("x"), ny, nx)).select(*ZYX, to_full_range(moved, 0.0, 1.0).alias("f"))
 
 

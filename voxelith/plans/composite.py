@@ -86,7 +86,7 @@ def q2_frame_of_reference(spark, d):
 @query()
 def q3_bone_region(spark, d):
     v = fx.vox(spark, d)
-    return bone_region(v, v.where("v > 58000").select(*ZYX), fx.shape(spark, d), 256, 1, 1, 1, 5)
+    return bone_region(v, v.where("v > 58000").select(*ZYX), fx.extent(spark, d), 256, 1, 1, 1, 5)
 
 
 @query()
@@ -100,7 +100,7 @@ def q5_fields(spark, d):
 @query()
 def q6_histograms(spark, d):
     """Field histogram without its border rows, smoothed in the plane."""
-    nz = fx.shape(spark, d)[0]
+    nz = fx.extent(spark, d)[0]
     hist = histogram.field_histogram(fx.vox(spark, d), fx.field2(spark, d), (nz, 20, 64), (nz // 2, 10, 32), (1, 65535), (1, 65535), (32, 64))
     return histogram.smooth_plane(hist.where("row > 0 and row < 31"), 32, 64, 3)
 
@@ -108,7 +108,7 @@ def q6_histograms(spark, d):
 @query()
 def q7_ridges(spark, d):
     """Peaks of smoothed rows, closed to ridges and labelled."""
-    nz = fx.shape(spark, d)[0]
+    nz = fx.extent(spark, d)[0]
     smooth = histogram.smooth_rows(histogram.axis_histograms(fx.vox(spark, d), 1, 65535, 64, (nz, 20, 64), ("z",)).drop("axis"), 64, 3)
     dots = histogram.peaks(smooth, "s").select(F.lit(0).alias("z"), F.col("row").alias("y"), F.col("bin").alias("x"))
     plane = (1, nz, 64)
@@ -119,7 +119,7 @@ def q7_ridges(spark, d):
 @query()
 def q9_segmentation(spark, d):
     """From a histogram to probabilities of two materials for every voxel."""
-    nz = fx.shape(spark, d)[0]
+    nz = fx.extent(spark, d)[0]
     hist = histogram.field_histogram(fx.vox(spark, d), fx.field2(spark, d), (nz, 20, 64), (nz // 2, 10, 32), (1, 65535), (1, 65535), (16, 32))
     table = models.otsu_probabilities(hist, 32, least=10).withColumnsRenamed({"row": "field_bin", "bin": "voxel_bin"})
     return models.material_probability(fx.vox(spark, d), fx.field2(spark, d), table, (nz, 20, 64), (nz // 2, 10, 32), (1, 65535), (1, 65535), (16, 32))
@@ -133,7 +133,7 @@ def q11_cells(spark, d):
 @query()
 def q13_healthy_bone(spark, d):
     v = fx.vox(spark, d)
-    return healthy_bone_share(v.where("v between 20000 and 32000").select(*ZYX), v.where("v > 22000").select(*ZYX), fx.shape(spark, d), 1, 1)
+    return healthy_bone_share(v.where("v between 20000 and 32000").select(*ZYX), v.where("v > 22000").select(*ZYX), fx.extent(spark, d), 1, 1)
 
 
 @query()

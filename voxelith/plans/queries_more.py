@@ -22,6 +22,13 @@ def s6_halo_slabs(spark, d):
     return raw.with_halo(fx.vox(spark, d), 5, 2).groupBy("slab").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
+@query("vox", """SELECT CAST(slab AS INT) AS slab, count(*) AS n, CAST(sum(v) AS BIGINT) AS total
+FROM (SELECT v, unnest(range(greatest(0, z - 2) // 5, (z + 2) // 5 + 1)) slab FROM vox) GROUP BY 1""")
+def s6_halo_slabs_all(spark, d):
+    """The same with SQL for any number of slabs."""
+    return raw.with_halo(fx.vox(spark, d), 5, 2).groupBy("slab").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
 @query("", """WITH s AS (SELECT CAST((max(vec_id) + 1) // 20 AS INT) nz FROM embeddings)
 SELECT CAST(id AS INT) AS chunk, CAST(id * 8 AS INT) AS start, CAST(least(8, nz - id * 8) AS INT) AS size FROM s, range(1000) r(id) WHERE id * 8 < nz""")
 def s20_chunks(spark, d):
@@ -174,7 +181,7 @@ def q4_implant_data(spark, d):
 @query()
 def q10_blood(spark, d):
     """The largest bright component at scale 2."""
-    n = fx.shape(spark, d)
+    n = fx.extent(spark, d)
     half = resample.downsample(fx.vox(spark, d), 2, n)
     return components.largest_mask(voxels.threshold(half, 34000), 4)
 
@@ -192,9 +199,9 @@ def q12_contact_report(spark, d):
 @query()
 def a8_healthy_bone_grown(spark, d):
     v = fx.vox(spark, d)
-    return composite.healthy_bone_share(v.where("v between 24000 and 40000").select(*ZYX), v.where("v > 30000").select(*ZYX), fx.shape(spark, d), 1, 2)
+    return composite.healthy_bone_share(v.where("v between 24000 and 40000").select(*ZYX), v.where("v > 30000").select(*ZYX), fx.extent(spark, d), 1, 2)
 
 
 @query()
 def m19_implant_blur(spark, d):
-    return stencil.diffuse(fx.vox(spark, d).where("v > 60000").select(*ZYX), 1.5, 1, fx.shape(spark, d))
+    return stencil.diffuse(fx.vox(spark, d).where("v > 60000").select(*ZYX), 1.5, 1, fx.extent(spark, d))

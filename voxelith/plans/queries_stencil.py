@@ -61,7 +61,7 @@ def m4_dilate_in_passes(spark, d):
 @query()
 def m2_dilate_16(spark, d):
     """A sphere of radius 16, exact: 797 runs an interval, not 17077 offsets a voxel."""
-    return stencil.dilate(mask(spark, d, 60000), 16, fx.shape(spark, d))
+    return stencil.dilate(mask(spark, d, 60000), 16, fx.extent(spark, d))
 
 
 @query("vox dim", f"WITH {MASK} SELECT DISTINCT CAST(z + a.id AS INT) AS z, CAST(y + b.id AS INT) AS y, CAST(x + c.id AS INT) AS x FROM m, dim, range(-2, 3) a(id), range(-2, 3) b(id), range(-2, 3) c(id) WHERE z + a.id BETWEEN 0 AND nz - 1 AND y + b.id BETWEEN 0 AND 19 AND x + c.id BETWEEN 0 AND 63")
@@ -76,7 +76,7 @@ def m16_dilate_cross(spark, d):
 
 @query()
 def m16_fill_holes(spark, d):
-    return stencil.fill_holes(mask(spark, d, 30000), fx.shape(spark, d))
+    return stencil.fill_holes(mask(spark, d, 30000), fx.extent(spark, d))
 
 
 @query("vox dim", f"WITH {MASK} SELECT DISTINCT z, CAST(y + b.id AS INT) AS y, CAST(x + c.id AS INT) AS x FROM m, range(-3, 4) b(id), range(-3, 4) c(id) WHERE abs(b.id) + abs(c.id) <= 3 AND y + b.id BETWEEN 0 AND 19 AND x + c.id BETWEEN 0 AND 63")
@@ -111,7 +111,7 @@ def m8_diffusion_step(spark, d):
 
 @query()
 def m9_diffusion(spark, d):
-    return stencil.diffuse(mask(spark, d, 58000), 1.0, 3, fx.shape(spark, d), 2)
+    return stencil.diffuse(mask(spark, d, 58000), 1.0, 3, fx.extent(spark, d), 2)
 
 
 @query("box", """WITH m AS (SELECT z, y, x FROM box WHERE v > 45000)
@@ -197,7 +197,7 @@ def r1_trilinear_all(spark, d):
 
 @query()
 def r2_sample_plane(spark, d):
-    n = fx.shape(spark, d)
+    n = fx.extent(spark, d)
     return resample.sample_plane(fx.vox(spark, d), n, (32, 10, n[0] / 2), (1, 0, 0), (0, 0.6, 0.8), (-30, 30, -8, 8), (60, 32))
 
 
