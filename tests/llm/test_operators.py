@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from voxelith.llm import language, licenses, mixing, packing, quality, sharding, simhash, suffixes, tiff, toxicity
+from voxelith.llm import joins, language, licenses, mixing, packing, quality, sharding, simhash, suffixes, tiff, toxicity
 from voxelith.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, fp string, slot string, size string, kept string, spans string, label string, bucket string"
@@ -191,30 +191,45 @@ def plain_removal(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [4000, 0])
+@pytest.mark.parametrize("group", [4000, 2, 0])
 def test_suffix_dedup(docs, empty, group, monkeypatch):
     small = docs.where("doc_id is null or doc_id <> 5")
     rows = texts_of(small)
     want = Counter(zip([d for d, _ in rows], plain_removal([t.encode() for _, t in rows], 200), strict=True))
-    spans = suffixes.repeated_spans
-    monkeypatch.setattr(suffixes, "repeated_spans", lambda *a, **k: spans(*a, **k, group=group))
-    got = suffixes.remove_repeats(small).collect()
+    if group == 0:  # all keys with two rows are hot
+        monkeypatch.setattr(joins, "hot_bar", lambda total: 1)
+        monkeypatch.setattr(suffixes, "hot_bar", lambda total: 1)
+    got = suffixes.remove_repeats(small, group=group).collect()
     assert Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == want
     assert sum(r.n_removed for r in got) > 1000
     assert suffixes.remove_repeats(empty).count() == 0
 
 
-def test_suffix_dedup_of_runs(spark):
+@pytest.mark.parametrize("group", [4000, 3, 0])
+def test_suffix_dedup_of_runs(spark, group):
     texts = ["a" * 1000, "ab" * 300, "abc" * 200 + "tail", "a" * 150, "é" * 90 + "b" * 40, "é" * 95 + "b" * 40, "q" * 199, "zé" * 120]
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcde"), 5)) for _ in range(30)]
     base = " ".join(rng.choice(words, 400))
     texts += [base, base[:900] + "X" + base[901:], base[100:700], "Y" + base[300:], base[:1500].replace("a", "A", 1)]
     rows = list(enumerate(texts))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()}
     assert got == dict(enumerate(plain_removal([t.encode() for t in texts], 200)))
 
 
+def test_suffix_dedup_of_one_passage_in_many_texts(spark):
+    """A common anchor with more distinct segments than a task takes; also a very long text."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"common{i}" for i in range(28))
+    texts = [f"{' '.join(map(str, rng.integers(0, 10**6, 30)))} {passage} {' '.join(map(str, rng.integers(0, 10**6, 30)))}" for _ in range(60)]
+    texts += [passage[:205], passage[20:], "x" + passage, LONG[:20_000], LONG[9000:12_000] + "end"]
+    rows = list(enumerate(texts))
+    want = dict(enumerate(plain_removal([t.encode() for t in texts], 200)))
+    for group in (4000, 10):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()}
+        assert got == want
+
+
 def test_quality(docs, empty, spark):
     many = [(1000 + i, " ".join(f"w{i}x{j}" for j in range(30)), "en") for i in range(1500)] + [(5000 + i, " ".join(f"$$$&&&w{i}y{j}" for j in range(30)), "en") for i in range(100)]
     table = spark.createDataFrame(many, "doc_id long, text string, lang string")
@@ -244,6 +259,37 @@ def test_sharding(docs, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_shards_of_null_and_repeated_ids_are_even(spark, parts):
+    rows = [(None if i % 2 else i % 5, f"text {i % 3}" if i % 4 else f"other {i}") for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = sharding.assign_shards(table, shards=24, slots=2048).collect()
+    held = Counter()
+    for r in got:
+        held[r.shard] += r.size
+    assert len(got) == 6000 and max(held.values()) - min(held.values()) <= 0.01 * sum(held.values()) / 24
+    again = sharding.assign_shards(table.repartition(3), shards=24, slots=2048).collect()
+    key = lambda r: (str(r.doc_id), r.size, r.text_crc32, r.shard)
+    assert Counter(map(key, got)) == Counter(map(key, again))
+
+
+def test_slot_map_is_read_back_and_edited(docs, spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    table = spark.createDataFrame([(i, "words " * (1 + i % 7)) for i in range(4000)], "doc_id long, text string")
+    first = {r.doc_id: r for r in sharding.assign_shards(table, shards=24, slots=1024, path=path).collect()}
+    again = {r.doc_id: r for r in sharding.assign_shards(table, shards=24, slots=1024, path=path).collect()}
+    assert {r.map_version for r in first.values()} == {r.map_version for r in again.values()} == {1}
+    assert all(first[i].shard == again[i].shard for i in first)
+    grown = {r.doc_id: r for r in sharding.assign_shards(table, shards=25, slots=1024, path=path).collect()}
+    moved = [i for i in first if first[i].shard != grown[i].shard]
+    assert {r.map_version for r in grown.values()} == {2} and all(first[i].virtual_slot == grown[i].virtual_slot for i in first)
+    assert 0 < len(moved) < 2 * len(first) / 25  # few slots move, most of them to the new shard
+    fewer = sharding.assign_shards(table, shards=20, slots=1024, path=path).collect()
+    assert {r.shard for r in fewer} == set(range(20)) and {r.map_version for r in fewer} == {3}
+    with pytest.raises(ValueError):
+        sharding.assign_shards(table, shards=24, slots=512, path=path)
+
+
 def test_pipeline(docs, empty, spark, tmp_path):
     import corpus_pipeline
 

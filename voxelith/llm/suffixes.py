@@ -4,8 +4,11 @@ A byte goes if a string of ``length`` bytes that covers it also starts anywhere
 not sorted as a whole. Each document is first cut, by content, into segments, so that every string of ``length``
 bytes lies in exactly one segment and equal strings lie in segments with equal anchors: a string's anchor is the
 rightmost smallest hash of its ``GRAM``-byte grams, and a segment holds the consecutive strings with one anchor.
-Segments whose anchor occurs once hold nothing repeated; equal segments collapse into one with a count. What is
-left, distinct segments that share an anchor, goes by anchor to tasks, and a task finds the strings they share:
+Segments whose anchor occurs once hold nothing repeated; equal segments collapse into one with a count. An anchor
+with more than ``group`` distinct segments (say a passage quoted by a third of all documents) would not fit a
+task: its segments are cut again, by where a string lies about the anchor, and get longer anchors, all bytes that
+the strings of a piece share; pieces that are equal collapse again, and the last cut leaves single strings. What
+is left, distinct segments that share an anchor, goes by anchor to tasks, and a task finds the strings they share:
 
 * segments are dealt into shards, and each shard's transform (BWT) is built by sorting its own suffixes;
 * the transforms are merged by refining their interleave: a stable sort of the rows by the symbols before them
@@ -13,12 +16,14 @@ left, distinct segments that share an anchor, goes by anchor to tasks, and a tas
   that round's length; rows alone in their interval are settled and skipped. No suffix is sorted again;
 * intervals left after ``length`` rounds are the repeated strings.
 
-Anchors with more than ``group`` distinct segments (say a passage quoted by a third of all documents) would not
-fit a task: their strings are told apart by 128-bit digests instead, counted by a shuffle that combines.
+Equal segments are told by an anchor's 64 bits and 64 more of the segment. Keys that hold many rows (a common
+anchor, a text of many copies) are never shuffled to one task; see ``joins``.
 
 Defined cases: a null text is empty; texts under ``length`` bytes lose nothing. Matches never cross documents.
-All rows count, so a repeated row or text of ``length`` bytes or more is removed whole, ties included. Other
-columns are ignored; an empty table gives an empty one.
+All rows count, so a repeated row or text of ``length`` bytes or more is removed whole, ties included; ids may be
+null or repeat, as rows are told apart by their texts alone. Texts are read whole, long ones in blocks. Other
+columns are ignored, but for those named in ``keep``; of these, ones named like a result are left out. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelith.llm.joins import hot_bar, meet
 from voxelith.llm.storage import free, stored
-from voxelith.llm.texts import release
+from voxelith.llm.texts import kept_columns, release
 
 LENGTH = 200
 GRAM = 40
@@ -209,15 +215,15 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], np.diff(first, append=len(starts))
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """16 bytes that tell rows apart, but for rows equal in id and text."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))))
+def text_key(text: str) -> Column:
+    """16 bytes that tell texts apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = 4000) -> DataFrame:
-    """(uid, spans): of each row with repeated strings its key and an array of (first, n), its repeated starts; stored."""
+def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """(uid, spans) and (uid): of each text with repeated strings its key and an array of (first, n), its repeated starts; and the keys of texts with very many copies, which are repeated whole. Both stored."""
     spark = docs.sparkSession
-    keyed = docs.select(row_key(doc_id, text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = docs.select(text_key(text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def cut(batches):
         release()
@@ -231,33 +237,44 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                     yield pd.DataFrame({"h": h[s], "d": d[s], "uid": uid[s], "first": first[s], "n": count[s].astype(np.int32)})
 
     anchors = stored(keyed.mapInPandas(cut, "h long, d long, uid binary, first long, n int"), "anchors")
+    copies = anchors.where("first = 0").groupBy("uid").agg(F.count("*").alias("n"))  # a long text has one such segment
+    copied = stored(copies.where(F.col("n") > hot_bar(anchors.where("first = 0").count())).select("uid"), "copied-texts")
     counts = anchors.groupBy("h").agg(F.count("*").alias("rows"), F.min("d").alias("d0"), F.max("d").alias("d1"))
-    shared = stored(counts.where("rows > 1").select("h", (F.col("d0") == F.col("d1")).alias("one")), "shared-anchors")
+    shared = stored(counts.where("rows > 1").select("h", F.col("rows").alias("times"), (F.col("d0") == F.col("d1")).alias("one")), "shared-anchors")
     free(spark)
-    hits = stored(anchors.join(shared, "h"), "hits")
+    hits = stored(meet(anchors, shared, ["h"], "times").drop("times"), "hits")
     free(spark)
     mixed = hits.where("not one")
-    kinds = mixed.groupBy("h", "d").agg(F.count("*").alias("rows"), F.min(F.struct("uid", "first", "n")).alias("at"))
-    per_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("rows").alias("least"))
-    kinds = stored(kinds.join(per_anchor, "h").select("h", "d", "rows", "kinds", "least", "at.*"), "segments")
-    free(spark)
-    many = kinds.where("rows > 1").select("h", "d")
-    whole = hits.where("one").select("uid", "first", "n").unionByName(mixed.join(many, ["h", "d"], "left_semi").select("uid", "first", "n"))
+    kinds = stored(mixed.groupBy("h", "d").agg(F.count("*").alias("rows"), F.min(F.struct("uid", "first", "n")).alias("at")), "kinds")
+    many = kinds.where("rows > 1").select("h", "d", "rows")
     # segments that occur twice are repeated whole; strings of the others have to be found
-    fetched = _fetch(keyed, kinds.where("least = 1"), length)
-    merged = _merge(spark, fetched.where(F.col("kinds") <= group), length)
-    digested = _digest(fetched.where(F.col("kinds") > group), length)
-    spans = whole.select("uid", "first", F.col("n").cast("long").alias("n")).unionByName(merged).unionByName(digested)
+    whole = hits.where("one").select("uid", "first", "n").unionByName(meet(mixed, many, ["h", "d"], "rows").select("uid", "first", "n"))
+    fetched = _fetch(keyed, _open(kinds), length)
+    free(spark)
+    merged, repeated = _spread(spark, fetched, length, gram, group)
+    spans = whole.select("uid", "first", F.col("n").cast("long").alias("n")).unionByName(merged)
+    for part in repeated:
+        spans = spans.unionByName(part)
     out = stored(spans.groupBy("uid").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "spans")
     free(spark)
-    return out
+    return out, copied
+
+
+def _open(kinds: DataFrame) -> DataFrame:
+    """Distinct segments (h, d, rows, ...) of anchors with several, one of which occurs once; with ``kinds``, their number."""
+    per_anchor = stored(kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.min("rows").alias("least")).where("kinds > 1 and least = 1").drop("least"), "open-anchors")
+    return meet(kinds, per_anchor, ["h"], "kinds")
 
 
 def _fetch(keyed: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
-    """The bytes of each distinct segment, taken from one row that holds it; stored."""
-    need = stored(kinds.groupBy("uid").agg(F.collect_list(F.struct("h", "d", "rows", "kinds", "first", "n")).alias("parts")), "wanted")
+    """The bytes of each distinct segment, taken from one text that holds it; stored."""
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number of partitions, as few bytes here make many rows
+    part = kinds.select("at.uid", F.struct("h", "d", "rows", "kinds", "at.first", "at.n").alias("p")).repartition(tasks, "uid")
+    need = part.groupBy("uid").agg(F.collect_list("p").alias("parts"))
 
     def read(batches):
+        release()
         for pdf in batches:
             rows = []
             for uid, text, parts in zip(pdf["uid"], pdf["text"], pdf["parts"], strict=True):
@@ -265,17 +282,72 @@ def _fetch(keyed: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
                 rows += [(p["h"], p["d"], p["rows"], p["kinds"], uid, p["first"], data[p["first"] : p["first"] + p["n"] + length - 1]) for p in parts]
             yield pd.DataFrame(rows, columns=["h", "d", "rows", "kinds", "uid", "first", "data"])
 
-    joined = keyed.join(need, "uid").select("uid", "text", "parts")
+    # copies of a text combine before the shuffle
+    once = keyed.where(F.octet_length("text") >= length).groupBy("uid").agg(F.first("text").alias("text"))
+    joined = once.join(need, "uid").select("uid", "text", "parts")
     return stored(joined.mapInPandas(read, "h long, d long, rows long, kinds long, uid binary, first long, data binary"), "segment-bytes")
 
 
+def pieces_about(data: bytes, off: int, width: int, length: int) -> list[tuple[int, int, int, int]]:
+    """(anchor, digest, first, n) of a segment's pieces; the first of its strings begins ``off`` bytes before the anchor.
+
+    Strings that begin the same number of bytes before it, up to a multiple of ``width``, form a piece. All strings
+    that a piece can have share the bytes of its longer anchor.
+    """
+    n, out = len(data) - length + 1, []
+    for block in range(off // width, (off - n + 1) // width - 1, -1):
+        far, near = block * width + width - 1, block * width  # bytes before the anchor
+        first, last = max(0, off - far), min(n - 1, off - near)
+        context = data[off - near : off - far + length]
+        part = data[first : last + length]
+        out.append((xxhash.xxh64_intdigest(context, near * 1000 + width) - (1 << 63), xxhash.xxh64_intdigest(part, off - first) - (1 << 63), first, last - first + 1))
+    return out
+
+
+def anchor_place(data: bytes, length: int, gram: int) -> int:
+    """The anchor of a segment's bytes: the rightmost smallest gram of those that all its strings have."""
+    n = len(data) - length + 1
+    h = gram_hashes(np.frombuffer(data, np.uint8), gram)[n - 1 : length - gram + 1] >> np.uint64(24)
+    return n - 1 + len(h) - 1 - int(np.argmin(h[::-1]))
+
+
+def _spread(spark: SparkSession, fetched: DataFrame, length: int, gram: int, group: int, widths: tuple[int, ...] = (12, 1)) -> tuple[DataFrame, list[DataFrame]]:
+    """(uid, first, n) of strings found by merging, and of pieces of segments that are repeated whole."""
+
+    def cut(width: int, placed: bool):
+        def run(batches):
+            release()
+            for pdf in batches:
+                rows = []
+                for r in pdf.itertuples(index=False):
+                    data = r.data
+                    off = r.off if placed else anchor_place(data, length, gram)
+                    rows += [(h, d, r.rows, r.uid, r.first + a, n, off - a, data[a : a + n + length - 1]) for h, d, a, n in pieces_about(data, off, width, length)]
+                yield pd.DataFrame(rows, columns=["h", "d", "rows", "uid", "first", "n", "off", "data"])
+
+        return run
+
+    columns = ["h", "d", "rows", "uid", "first", "data"]
+    ready, repeated, held = fetched.where(F.col("kinds") <= group).select(*columns), [], fetched
+    for i, width in enumerate(widths):
+        hot = held.where(F.col("kinds") > group)
+        if hot.isEmpty():
+            break
+        parts = stored(hot.mapInPandas(cut(width, i > 0), "h long, d long, rows long, uid binary, first long, n long, off int, data binary"), "pieces")
+        kinds = stored(parts.groupBy("h", "d").agg(F.sum("rows").alias("rows"), F.count("*").alias("parts"), F.min(F.struct("uid", "first", "off", "data")).alias("at")), "piece-kinds")
+        again = kinds.where("rows > 1").select("h", "d", "parts")
+        repeated.append(meet(parts.where("rows = 1").select("h", "d", "uid", "first", "n"), again, ["h", "d"], "parts").select("uid", "first", "n"))
+        held = stored(_open(kinds).select("h", "d", "rows", "kinds", "at.uid", "at.first", "at.off", "at.data"), "open-pieces")
+        ready = ready.unionByName(held.where(F.col("kinds") <= group).select(*columns))
+    return _merge(spark, ready, length), repeated
+
+
 def _merge(spark: SparkSession, fetched: DataFrame, length: int, block: int = 1 << 21) -> DataFrame:
     """Repeated starts (uid, first, n) in segments that occur once, found among all segments with their anchor."""
     total = fetched.agg(F.sum(F.length("data"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * block) + 1)
 
     def work(held: list) -> pd.DataFrame:
-        held = list({(r[0], r[1]): r for r in held}.values())  # a repeated row may bring a segment twice
         rows = []
         for (_, _, times, uid, first, _), starts in zip(held, repeated_starts([r[5] for r in held], length), strict=True):
             if times == 1 and len(starts):
@@ -299,20 +371,6 @@ def _merge(spark: SparkSession, fetched: DataFrame, length: int, block: int = 1
     return dealt.mapInPandas(run, "uid binary, first long, n long")
 
 
-def _digest(fetched: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many segments, by digests of their strings."""
-
-    def emit(batches):
-        for pdf in batches:
-            for h, times, uid, first, data in zip(pdf["h"], pdf["rows"], pdf["uid"], pdf["first"], pdf["data"], strict=True):
-                n = len(data) - length + 1
-                yield pd.DataFrame({"s": [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)], "rows": times, "uid": [uid] * n, "first": np.arange(first, first + n)})
-
-    rows = fetched.dropDuplicates(["h", "d"]).select("h", "rows", "uid", "first", "data").mapInPandas(emit, "s binary, rows long, uid binary, first long")
-    met = rows.groupBy("s").agg(F.sum("rows").alias("all"))
-    return rows.where("rows = 1").join(met.where("all > 1"), "s").select("uid", "first", F.lit(1).cast("long").alias("n"))
-
-
 def removal(data: bytes, spans, length: int = LENGTH) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by the repeated strings."""
     out: list[tuple[int, int]] = []
@@ -329,27 +387,34 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(data)], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), digest: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), digest: bool = True, group: int = 4000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or, without ``digest``, what is left as the string ``kept``).
 
     In ``kept`` a character that was removed in part is left out.
     """
-    spans = repeated_spans(docs, doc_id=doc_id, text=text, length=length)
-    cols = [c for c in dict.fromkeys(keep) if c not in ("doc_id", text)]
-    keyed = docs.select(row_key(doc_id, text).alias("uid"), F.col(doc_id).alias("doc_id"), *cols, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    joined = keyed.join(spans, "uid", "left").drop("uid")
+    spans, copied = repeated_spans(docs, text=text, length=length, group=group)
     last = "kept_sha256 string" if digest else "kept string"
+    own = ["n_bytes", "n_removed", "n_spans", last.split()[0]]
+    cols = [c for c in kept_columns(keep, ["doc_id", *own]) if c != text]
+    keyed = docs.select(text_key(text).alias("__uid"), F.col(doc_id).alias("doc_id"), *cols, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    many = F.broadcast(copied.withColumnRenamed("uid", "__uid"))  # at most HOT_KEYS keys
+    spans = spans.withColumnsRenamed({"uid": "__uid", "spans": "__spans"})
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("__text") - (length - 1)).cast("long").alias("n")))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = keyed.join(many, "__uid", "left_anti").repartition(tasks, "__uid").join(spans.repartition(tasks, "__uid"), "__uid", "left")
+    joined = rest.unionByName(keyed.join(many, "__uid", "left_semi").withColumn("__spans", all_of_it)).drop("__uid")
 
     def apply(batches):
+        release()
         for pdf in batches:
             out = []
-            for t, s in zip(pdf.pop("__text"), pdf.pop("spans"), strict=True):
+            for t, s in zip(pdf.pop("__text"), pdf.pop("__spans"), strict=True):
                 data = t.encode()
                 runs = [] if s is None else removal(data, s, length)
                 rest = _kept(data, runs)
                 size = sum(map(len, rest))
                 out.append((len(data), len(data) - size, len(runs), hashlib.sha256(b"".join(rest)).hexdigest() if digest else "".join(x.decode(errors="ignore") for x in rest)))
-            more = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", last.split()[0]], index=pdf.index)
+            more = pd.DataFrame(out, columns=own, index=pdf.index)
             yield pd.concat([pdf, more], axis=1)
 
     kinds = dict(keyed.dtypes)

@@ -30,6 +30,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def kept_columns(keep: Iterable[str], own: Iterable[str]) -> list[str]:
+    """The columns named in ``keep``, each once, without those that an operator's results replace."""
+    taken = set(own)
+    return [c for c in dict.fromkeys(keep) if c not in taken]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether crc32 of the id as text is divisible by 5; a null id counts as the empty text, so it is held out."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
