@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,16 +12,24 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand texts to Python workers few at a time: their memory follows a batch, not a partition."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
+    """Hand texts to Python workers few at a time: their memory follows a batch, bounded in rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def release() -> None:
-    """Drop what an earlier stage has left in this Python worker: the packing operator's word ids."""
-    packing = sys.modules.get("voxelith.llm.packing")
-    if packing is not None:
-        packing.piece_ids.cache_clear()
+    """Give back what an earlier stage has left in this Python worker."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
