@@ -17,7 +17,12 @@ joined into components of distinct fingerprints; copies of a text share one fing
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other.
 Fewer words than a shingle form one shingle. Repeated rows fall into one class. Rows without an id join classes,
-whose id is the smallest id that is not null. Other columns are ignored; an empty table gives an empty one.
+whose id is the smallest id that is not null. Texts are read whole, very long ones in blocks of shingles. Other
+columns are ignored, but for those named in ``keep``; of these, ones named like a result are left out. An empty
+table gives an empty one.
+
+Of near copies, those within three differing bits are found, all of them; edits that change more bits are beyond
+this distance (of the near copies planted in the check tool's tables, about half are within it).
 """
 
 from __future__ import annotations
@@ -28,12 +33,13 @@ from itertools import combinations, permutations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.llm.graph import components
-from voxelith.llm.storage import free, stored
-from voxelith.llm.texts import release
+from voxelith.llm.joins import meet
+from voxelith.llm.storage import stored
+from voxelith.llm.texts import kept_columns, release
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -59,7 +65,8 @@ def fingerprint(text: str | None, width: int = 3, block: int = 1 << 16) -> int:
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep`` and fp of each row; fp is the fingerprint's bits as a signed long."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__text"))
+    cols = kept_columns(keep, ["doc_id", "fp"])
+    source = docs.select(F.col(doc_id).alias("doc_id"), *cols, F.col(text).alias("__text"))
 
     def run(batches):
         release()
@@ -68,7 +75,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield pdf.assign(fp=fps.view(np.int64))
 
     kinds = dict(source.dtypes)
-    return source.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *keep]) + ", fp long")
+    return source.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *cols]) + ", fp long")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -171,7 +178,9 @@ def links(fps: DataFrame, *, bucket: int = 48, most: int = 8192) -> DataFrame:
                 yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     keyed = fps.mapInPandas(emit, "key long, fp long")
-    shared = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"), "simhash-keys")
+    keyed = stored(keyed, "simhash-keys")
+    counts = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-counts")
+    shared = stored(meet(keyed, counts, ["key"], "n"), "simhash-shared")
     small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("s"))
     pairs = small.select(F.explode(F.expr("flatten(transform(s, x -> transform(filter(s, y -> y > x and bit_count(x ^ y) <= 3), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
     middle = shared.where(F.col("n").between(bucket + 1, most)).groupBy("key").agg(F.collect_list("fp").alias("s"))
@@ -186,11 +195,12 @@ def links(fps: DataFrame, *, bucket: int = 48, most: int = 8192) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, bucket: int = 48, most: int = 8192, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep``, fingerprint (16 hex digits) and component_id of each row."""
     spark = docs.sparkSession
-    marked = stored(fingerprints(docs, doc_id=doc_id, text=text, width=width, keep=keep), "fingerprints")
-    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    cols = kept_columns(keep, ["doc_id", "fp", "fingerprint", "component_id"])
+    marked = stored(fingerprints(docs, doc_id=doc_id, text=text, width=width, keep=tuple(cols)), "fingerprints")
+    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     root = components(links(first.select("fp"), bucket=bucket, most=most))
-    free(spark)
-    joined = first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = joined.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = stored(first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("k")), "classes")
+    classes = stored(meet(rooted, least, ["root"], "k").select("fp", "component_id", "n"), "class-of")
+    named = meet(marked, classes, ["fp"], "n")
+    return named.select("doc_id", *cols, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
