@@ -3,20 +3,25 @@
 Documents are tokenized, closed by an end id and cut into pieces of at most ``capacity`` ids. The histogram of
 piece lengths, at most ``capacity`` rows, goes to the driver. There lengths are placed longest first, all pieces
 of a length at once, each into the open packing pattern with the shortest packs, whose count is split when fewer
-pieces than packs remain. Patterns then meet the
-pieces by rank: each place of a pattern owns an interval of the ranks of its length, and ranks are taken within
-small salted groups, with the groups' counts before them added, so that no task ranks a whole length.
+pieces than packs remain. Patterns then meet the pieces by rank: each place of a pattern owns an interval of the
+ranks of its length. Ranks are taken within groups of a length, as many as its pieces need, with the groups'
+counts before them added, so that no task ranks a whole length.
 
-Defined cases: a null or empty text is its end id alone. Texts are tokenized whole. Repeated rows are packed as
-documents of their own. Other columns are ignored; an empty table gives an empty one.
+The table of places is bounded by the capacity: each length splits one pattern at most, and equal lengths of a
+pattern, of which it has at most sqrt(2 capacity) different ones, form one row.
+
+Defined cases: a null or empty text is its end id alone. Texts are tokenized whole, very long ones too. Repeated
+rows are packed as documents of their own; ids may be null. Other columns are ignored; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
-from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -24,11 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.llm.storage import stored
-from voxelith.llm.texts import slices
+from voxelith.llm.texts import release, slices
 
 CAPACITY = 1024
 SPLIT = re.compile(r"(?<=\S)(?= \S)")
-SALTS = 64
+#: The pre-tokenizer whose words can be tokenized one by one; with any other, texts are tokenized whole.
+BY_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def ids_of(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class PieceIds:
@@ -40,7 +50,7 @@ class PieceIds:
     time. Texts with other white space are cut only where a single space stands between other characters.
     """
 
-    def __init__(self, tokenizer, limit: int = 120_000_000, slice_chars: int = 1 << 20):
+    def __init__(self, tokenizer, limit: int = 50_000_000, slice_chars: int = 1 << 20):
         self.tokenizer, self.limit, self.slice_chars, self.held = tokenizer, limit, slice_chars, 0
         self.tables: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
         self.feed = self.encode("\n")
@@ -51,7 +61,7 @@ class PieceIds:
             self.joints[joint] = np.fromiter(((tokenizer.id_to_token(i) or "").startswith(mark) for i in range(size)), bool, size)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids_of(self.tokenizer, text)
 
     def learn(self, lead: str, words: list[str], group: int = 512) -> None:
         """Tokenize new words; with a lead they keep the space, without one a line feed parts them."""
@@ -87,27 +97,30 @@ class PieceIds:
         return out
 
 
-@cache
-def piece_ids(tokenizer: str) -> PieceIds:
-    """The tables of a tokenizer's file; a worker keeps them from task to task, until another operator releases them."""
-    from tokenizers import Tokenizer
+def by_words(tokenizer) -> bool:
+    """Whether a tokenizer's words can be tokenized one by one."""
+    parts = json.loads(tokenizer.to_str())
+    pre = parts["pre_tokenizer"] or {}
+    return not parts["normalizer"] and all(pre.get(k) == v for k, v in BY_WORDS.items())
 
-    return PieceIds(Tokenizer.from_file(tokenizer))
 
-
-def pieces(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of each piece."""
+def pieces(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY, table_bytes: int = 50_000_000) -> DataFrame:
+    """doc_id, start, length, ids_crc32 and doc_tokens of each piece; a task's table of words holds ``table_bytes``."""
     kind = dict(docs.dtypes)[doc_id]
 
     def cut(batches):
         import os
 
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        table = piece_ids(tokenizer)
+        release()
+        model = Tokenizer.from_file(tokenizer)
+        many = PieceIds(model, table_bytes).many if by_words(model) else lambda texts: [ids_of(model, t) for t in texts]
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             out = defaultdict(list)
-            for i, ids in enumerate(table.many([t or "" for t in pdf["text"]])):
+            for i, ids in enumerate(many([t or "" for t in pdf["text"]])):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
@@ -140,26 +153,36 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return sorted(x for packs in open_.values() for x in packs)
 
 
-def pack(cut: DataFrame, *, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """Pieces with sequence_id and offset."""
-    spark = cut.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")
-    cut = stored(cut.withColumn("salt", salt), "pieces")
-    counts = stored(cut.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity x salts rows
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places, first, used = [], 0, defaultdict(int)
-    for pattern, packs in patterns(histogram, capacity):
+def places(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, low, high, first pack, packs, offset) of each run of equal lengths in the patterns: ranks low to high - 1 of the length fill its places, pack by pack."""
+    out, first, used = [], 0, defaultdict(int)
+    for pattern, packs in found:
         offset = 0
-        for length in pattern:
-            places.append((length, used[length], used[length] + packs, first, offset))
-            used[length] += packs
-            offset += length
+        for length, same in groupby(pattern):
+            n = len(list(same))
+            out.append((length, used[length], used[length] + n * packs, first, packs, offset))
+            used[length] += n * packs
+            offset += n * length
         first += packs
-    table = spark.createDataFrame(places, "length long, low long, high long, first long, offset long")
+    return out
+
+
+def pack(cut: DataFrame, *, capacity: int = CAPACITY, least: int = 64, rows: int = 100_000) -> DataFrame:
+    """Pieces with sequence_id and offset. Ranks of a length are taken in ``least`` groups, or as many as keep about ``rows`` pieces in one."""
+    spark = cut.sparkSession
+    cut = stored(cut, "pieces")
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    salts = spark.createDataFrame([(k, max(least, -(-n // rows))) for k, n in histogram.items()], "length long, salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", "part"), F.col("salts")).cast("int")
+    dealt = cut.withColumn("part", F.spark_partition_id()).join(F.broadcast(salts), "length").withColumn("salt", salt)
+    dealt = stored(dealt.drop("salts"), "dealt-pieces")
+    counts = stored(dealt.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
+    table = spark.createDataFrame(places(patterns(histogram, capacity)), "length long, low long, high long, first long, packs long, offset long")
     before = counts.select("length", "salt", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
-    ranked = cut.withColumn("rank", rank).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # both tables are bounded by the capacity, not by the corpus
+    # one row a group of pieces: capacity x least rows, and one for each ``rows`` pieces
+    ranked = dealt.withColumn("rank", rank).join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     hit = (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    joined = ranked.alias("r").join(F.broadcast(table).alias("p"), hit)
-    return joined.select("doc_id", "start", "r.length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    joined = ranked.alias("r").join(F.broadcast(table).alias("p"), hit)  # bounded by the capacity, as told above
+    at = F.col("rank") - F.col("low")
+    return joined.select("doc_id", "start", "r.length", "ids_crc32", "doc_tokens", (F.col("first") + at % F.col("packs")).alias("sequence_id"), (F.col("offset") + F.floor(at / F.col("packs")).cast("long") * F.col("r.length")).alias("offset"))
