@@ -142,6 +142,26 @@ def test_mixing(docs, empty, buckets):
     assert mixing.mix(empty).count() == 0
 
 
+def test_targets_by_clamping_again_and_again(spark):
+    rng = np.random.default_rng(2)
+    for n, big in ((1, 10), (7, 100), (40, 2**30)):
+        sizes = {f"s{i:02}": int(rng.integers(0, big)) if n < 40 else 2 ** (i % 30) for i in range(n)} | {None: int(rng.integers(1, big))}
+        table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        for share in (0.3, 1.5, 2.0, 3.0):
+            want = plain_targets(sizes, share=share)
+            assert all(abs(r.target - want[r.source]) <= 1e-9 * max(1, r.target) for r in mixing.targets(table, share=share).collect())
+
+
+def test_mixing_of_one_row_many_times(spark):
+    rows = [(None, "a few words here", "s")] * 500 + [(i, "one two " * (i % 5), "s") for i in range(50)] + [(1, "other source", "t")] * 30
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.mix(table.repartition(k), share=0.9, buckets=4).collect()) for k in (2, 5))
+    assert first == again
+    want = plain_targets({"s": 2000 + sum(2 * (i % 5) for i in range(50)), "t": 60}, share=0.9)
+    for s in "st":
+        assert abs(sum(k[3] * n for k, n in first.items() if k[1] == s) - want[s]) < 1
+
+
 def test_tiff(docs, empty, spark):
     rows = tiff.media_digests(docs).collect()
     assert len(rows) == 16
@@ -162,7 +182,7 @@ def test_packing(docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    rows = packing.pack(packing.pieces(docs, tokenizer=path), salts=3).collect()
+    rows = packing.pack(packing.pieces(docs, tokenizer=path), least=3, rows=4).collect()
     want = Counter()
     for d, t in texts_of(docs):
         ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
