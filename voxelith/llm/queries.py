@@ -61,7 +61,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxelith.llm.quality import quality_rules
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(documents(spark, sf_dir), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by", F.col("lang").alias("stratum"))
+    return quality_rules(documents(spark, sf_dir), labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by", "stratum")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
