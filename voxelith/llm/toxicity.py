@@ -7,8 +7,15 @@ worst passage, so a long clean text around an insult does not hide it. Embedding
 together by full-batch descent with momentum on exact gradients, each tensor's step scaled by its largest entry, so vectors
 that few texts share move little. The gradient of the maximum is spread by a softmax over passages.
 
+Passages are short, two words by default: a mean over more hides one insult among other words. On the labelled
+documents of the sf0.1 tables passages of two found 0.92 of the held-out toxic ones, of four 0.84, of eight 0.75,
+and a mean over the whole text 0.64 (see tests/llm).
+
 Defined cases: a null or empty text, or one without words, scores as its prior, that of a passage with a zero
-vector. If no labelled row exists all scores are 0. Repeated rows score alike; other columns are ignored.
+vector. If no labelled row exists, or only one class, all scores are 0. Repeated rows score alike; rows without an
+id have no label; of the texts of one id the first in order is learned from. Texts are scored whole, very long ones
+too. Other columns are ignored, but for those named in ``keep``; of these, ones named like a result are left out.
+An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,10 +25,11 @@ from array import array
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelith.llm.texts import hashed_ngrams, slices, unit_hash
+from voxelith.llm.storage import stored
+from voxelith.llm.texts import hashed_ngrams, kept_columns, release, slices, unit_hash
 
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_"
 BLOCK = 1 << 21
@@ -57,11 +65,11 @@ def _mean_by(values: np.ndarray, starts: np.ndarray, total: int) -> np.ndarray:
     return np.add.reduceat(values, starts) / np.diff(starts, append=total)
 
 
-def train_toxicity_model(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, dim: int = 8, passage: int = 8, rows_per_class: int = 3000, epochs: int = 120, seed: int = 3) -> ToxicityModel:
+def train_toxicity_model(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", bits: int = 18, dim: int = 8, passage: int = 2, decay: float = 1e-4, rows_per_class: int = 3000, bytes_per_class: int = 24_000_000, epochs: int = 120, seed: int = 3) -> ToxicityModel:
     """Learn from documents that ``labels`` (one row an id) marks 0 or 1.
 
     ``rows_per_class`` bounds the sample of each class (in expectation, by a hash of the id), so the ids sampled
-    are sent to all executors.
+    are sent to all executors; ``bytes_per_class`` bounds the bytes of its texts, which go to the driver whole.
     """
     marks = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     sizes = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -70,12 +78,17 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, *, doc_id: str = "d
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(rows_per_class / n))])
     some = marks.where(unit_hash(F.col("doc_id"), seed=seed) < share[F.col("label")])
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    sample = rows.join(F.broadcast(some), "doc_id").select("text", "label").toPandas()
+    drawn = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    drawn = stored(drawn, "toxicity-sample")
+    # a window over as many rows as are sampled
+    upto = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("label").orderBy(unit_hash(F.col("doc_id"), seed=seed), "doc_id"))
+    fits = drawn.select("doc_id", upto.alias("upto")).where(F.col("upto") <= bytes_per_class).select("doc_id")
+    sample = drawn.join(F.broadcast(fits), "doc_id").select("text", "label").toPandas()
     texts, marked = list(sample.pop("text")), sample["label"].to_numpy()
-    return fit(texts, marked, bits=bits, dim=dim, passage=passage, epochs=epochs, seed=seed)
+    return fit(texts, marked, bits=bits, dim=dim, passage=passage, epochs=epochs, seed=seed, decay=decay)
 
 
-def fit(texts: list[str], labels: np.ndarray, *, bits: int, dim: int, passage: int, epochs: int, seed: int) -> ToxicityModel:
+def fit(texts: list[str], labels: np.ndarray, *, bits: int, dim: int, passage: int, epochs: int, seed: int, decay: float = 1e-4) -> ToxicityModel:
     index: dict[bytes, int] = {}
     tokens, doc_starts, pass_starts, y = array("i"), [], [], []
     for t, label in sorted(zip(texts, labels, strict=True)):
@@ -115,7 +128,7 @@ def fit(texts: list[str], labels: np.ndarray, *, bits: int, dim: int, passage: i
         g_word = np.bincount(tokens, np.repeat(8 * g_pass / pass_len, pass_len), len(index))
         g_row = np.bincount(row, (g_word / n_sub)[own], 1 << bits)
         g_w = E.T @ g_row
-        grads = {"E": g_row[:, None].astype(np.float32) * w.astype(np.float32) + np.float32(1e-7) * E, "W": np.stack([-g_w, g_w], 1), "b": np.array([-g_pass.sum(), g_pass.sum()])}
+        grads = {"E": g_row[:, None].astype(np.float32) * w.astype(np.float32) + np.float32(decay) * E, "W": np.stack([-g_w, g_w], 1), "b": np.array([-g_pass.sum(), g_pass.sum()])}
         pace = 0.25 * (1 - step / (epochs + 1))
         for k, g in grads.items():
             m[k] *= 0.9
@@ -155,9 +168,10 @@ def predict(texts: list[str | None], model: ToxicityModel, cache: dict[bytes, fl
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, score and predicted, with the columns named in ``keep``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    cols = dict.fromkeys([doc_id, *keep])
+    cols = [doc_id, *kept_columns(keep, [doc_id, "score", "predicted"])]
 
     def score(batches):
+        release()
         cache: dict[bytes, float] = {}
         for pdf in batches:
             p = predict(list(pdf.pop("__text")), sent.value, cache)
