@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxelith.llm import joins, language, licenses, mixing, packing, quality, sharding, simhash, suffixes, tiff, toxicity
 from voxelith.llm.graph import components
@@ -254,7 +255,7 @@ def test_quality(docs, empty, spark):
     many = [(1000 + i, " ".join(f"w{i}x{j}" for j in range(30)), "en") for i in range(1500)] + [(5000 + i, " ".join(f"$$$&&&w{i}y{j}" for j in range(30)), "en") for i in range(100)]
     table = spark.createDataFrame(many, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(d, int(d < 5000)) for d, _, _ in many] + [(None, 1), (1000, 1)], "doc_id long, quality int")
-    rows = quality.quality_rules(table, labels, risk=0.06).collect()
+    rows = quality.quality_rules(table, labels).collect()
     assert len(rows) == 1600 and all(r.kept == (r.doc_id < 5000) for r in rows)
     assert {r.rejected_by for r in rows} == {None, "symbols"}
     judged = quality.quality_rules(docs, labels).collect()
@@ -262,6 +263,32 @@ def test_quality(docs, empty, spark):
     assert quality.quality_rules(empty, labels).count() == 0
 
 
+def test_few_labels_decide_where_they_suffice(spark):
+    """300 good texts or so in a stratum; copies of one text count once."""
+    many = [(i, " ".join(f"w{i}x{j}" for j in range(30)), "en") for i in range(400)] + [(5000 + i, " ".join(f"$$$&&&w{i}y{j}" for j in range(30)), "en") for i in range(40)]
+    many += [(9000 + i, " ".join(f"same{j}" for j in range(30)), "fr") for i in range(2000)] + [(20_000, " ".join(f"$$$&&&v{j}" for j in range(30)), "fr"), (None, " ".join(f"v{j}" for j in range(30)), None)]
+    table = spark.createDataFrame(many, "doc_id long, text string, n_words string")
+    labels = spark.createDataFrame([(d, int(d < 5000 or 9000 <= d < 20_000)) for d, _, _ in many if d is not None], "doc_id long, quality int")
+    rows = quality.quality_rules(table, labels, stratum="n_words").collect()
+    assert len(rows) == len(many) and all(r.kept == (r.stratum != "en" or r.doc_id < 5000) for r in rows)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "STRATA", 1)
+        with pytest.raises(ValueError):
+            quality.quality_rules(table, labels, stratum="n_words").collect()
+
+
+def test_kept_columns_named_like_results_are_left_out(docs, spark):
+    model = language.train_language_model(docs)
+    assert language.identify_languages(docs, model, keep=("score", "lang", "lang")).columns == ["doc_id", "lang", "lang_pred", "score"]
+    some = toxicity.ToxicityModel(np.zeros(16), 0.0, 4, 2)
+    assert toxicity.score_toxicity(docs, some, keep=("score", "key")).columns == ["doc_id", "key", "score", "predicted"]
+    out = simhash.near_duplicates(docs, keep=("fp", "key", "lang"))
+    assert out.columns == ["doc_id", "key", "lang", "fingerprint", "component_id"] and out.count() == 16
+    out = suffixes.remove_repeats(docs.withColumn("uid", F.lit("x")).withColumn("spans", F.lit("x")), keep=("uid", "spans", "text", "n_bytes"))
+    assert out.columns == ["doc_id", "uid", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and out.count() == 16
+    assert mixing.mix(docs, keep=("size", "bucket", "key")).columns[:4] == ["doc_id", "source", "bucket", "key"]
+
+
 def test_licenses(docs, empty, spark):
     rows = licenses.scan_licenses(docs).collect()
     assert len(rows) == 16 and {r.labels for r in rows} == {""} and {r.score for r in rows} == {0.0}

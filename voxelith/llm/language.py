@@ -1,12 +1,14 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of one to three characters of labelled texts into 2**bits buckets per language; the
-matrix of log-probabilities (buckets x languages, a size that does not depend on the corpus) is broadcast, and
-texts are scored in numpy: each text is a sparse row of buckets, and its score a sum over the matrix's rows.
+matrix of log-probabilities (buckets x languages, at most ``LANGUAGES``, so a size that does not depend on the
+corpus) is broadcast, and texts are scored in numpy: each text is a sparse row of buckets, and its score a sum over
+the matrix's rows.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if no row had a
 label. Texts are read whole, long ones in blocks. Repeated rows get equal answers; ties go to the language that
-comes first. Other columns are ignored.
+comes first. Other columns are ignored, but for those named in ``keep``; of these, ones named like a result are
+left out. An empty table gives an empty one, or a model without languages.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelith.llm.texts import hashed_ngrams, release, slices, unit_hash
+from voxelith.llm.texts import hashed_ngrams, kept_columns, release, slices, unit_hash
 
 LETTER = regex.compile(r"\p{L}")
 ORDERS = (1, 2, 3)
 BLOCK = 1 << 19
+#: More languages than this are an error: the matrix has a column for each.
+LANGUAGES = 256
 
 
 @dataclass
@@ -57,8 +61,10 @@ def train_language_model(labelled: DataFrame, *, text: str = "text", lang: str =
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
     copies = rows.groupBy("lang", "h").agg(F.count("*").alias("c"))
-    sizes = {r["lang"]: r["n"] for r in copies.groupBy("lang").agg(F.sum("c").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in copies.groupBy("lang").agg(F.sum("c").alias("n")).limit(LANGUAGES + 1).collect()}
     names = sorted(sizes)
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not names:
         return LanguageModel([], np.zeros((1 << bits, 0)), np.zeros(0), bits)
     share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, rows_per_language / sizes[k])))])
@@ -108,7 +114,7 @@ def predict(texts: list[str | None], model: LanguageModel) -> tuple[list[str], n
 def identify_languages(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: id, lang_pred and score, with the columns named in ``keep``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    cols = dict.fromkeys([doc_id, *keep])
+    cols = [doc_id, *kept_columns(keep, [doc_id, "lang_pred", "score"])]
     source = docs.select(*cols, F.col(text).alias("__text"))
 
     def score(batches):
