@@ -306,6 +306,35 @@ def test_sharding(docs, empty):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def test_template_matches_by_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        alphabet = list("abc")
+        templates = {f"t{k}": " ".join(rng.choice(alphabet, rng.integers(3, 12))) for k in range(4)}
+        text = " ".join(rng.choice([*alphabet, "z"], 40, p=[0.3, 0.3, 0.3, 0.1]))
+        a, words = licenses.build(templates, {"a b": "x"}), licenses.words_of(text)
+        got = licenses.template_matches(words, a, 3)
+        for t, body in enumerate(templates.values()):
+            own, want = licenses.words_of(body), set()
+            longest = [max((n for n in range(1, i + 2) if any(own[e - n + 1 : e + 1] == words[i - n + 1 : i + 1] for e in range(n - 1, len(own)))), default=0) for i in range(len(words))]
+            for i, n in enumerate(longest):
+                if n >= 3 and (i + 1 == len(words) or longest[i + 1] != n + 1):
+                    want |= {(i - n + 1, e - n + 1, n) for e in range(n - 1, len(own)) if own[e - n + 1 : e + 1] == words[i - n + 1 : i + 1]}
+            assert set(got.get(t, [])) == want
+
+
+def test_every_copy_of_a_notice_and_notices_within_others():
+    a = licenses.build(licenses.TEMPLATES, licenses.PHRASES)
+    body, other = licenses.TEMPLATES["apache"], licenses.TEMPLATES["isc"]
+    r = licenses.scan(f"intro {body} middle words {other} and again {body} end", a)
+    spans = sorted((n, x, y) for n, _, x, y in r["spans"])
+    n, m = len(licenses.words_of(body)), len(licenses.words_of(other))
+    assert [s for s in spans if s[0] == "apache"] == [("apache", 1, n), ("apache", n + m + 5, 2 * n + m + 4)]
+    assert sum(s[0] == "apache-2.0" for s in spans) == 2 and r["labels"] == "apache,apache-2.0,isc"
+    many = licenses.scan(" ".join([body] * 300), a)
+    assert sum(s[0] == "apache" for s in many["spans"]) == 300
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_shards_of_null_and_repeated_ids_are_even(spark, parts):
     rows = [(None if i % 2 else i % 5, f"text {i % 3}" if i % 4 else f"other {i}") for i in range(6000)]

@@ -2,17 +2,20 @@
 
 The automaton accepts all word sequences that occur in a template or phrase; built once, it is sent to the tasks
 (its size depends on the templates only). Each text streams through it word by word, which gives its matching
-statistics: at each word the longest sequence ending there that a template holds. Phrases end where their state
-is on the suffix links of the present one. Matches of at least ``least`` words that cannot grow are chained, in
-order and without crossing, into spans of one template; a template whose words are covered to ``cover`` or more
-gives its label.
+statistics: at each word the longest sequence ending there that a template holds, and by the suffix links the
+longest that each template holds. Phrases end where their state is on the suffix links of the present one. A
+template's matches of at least ``least`` words that it does not hold longer are chained, in order and without
+crossing, into spans; each span that covers ``cover`` or more of the template's words counts, best first, and gives
+its label. So every copy of a notice in a text has a span, and a notice within another's wording has one too.
 
-Defined cases: a null or empty text has no words, no labels and score 0. Texts are read whole; matches end at a
-text's end. Overlapping places all count. Repeated rows give equal results; other columns are ignored.
+Defined cases: a null or empty text has no words, no labels and score 0. Texts are read whole, very long ones too;
+matches end at a text's end. Overlapping places all count; spans of one template do not overlap. Repeated rows give
+equal results; ids may be null. Other columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -85,7 +88,7 @@ class Automaton:
     step: list[dict[int, int]]
     link: list[int]
     depth: list[int]
-    ends: list[list[tuple[int, int]]]  # (template, place of the last word) of each state
+    held: list[list[tuple[int, int, list[int]]]]  # (template, words, places of their last word) for each template on the suffix links of each state
     phrases: list[list[tuple[int, int]]]  # (words, phrase) on the suffix links of each state
     names: list[str]  # labels of the templates
     sizes: list[int]
@@ -150,7 +153,13 @@ def build(templates: dict[str, str], phrases: dict[str, str]) -> Automaton:
     pairs = np.zeros((len(vocabulary),) * 2, bool)
     for ids in coded:
         pairs[ids[:-1], ids[1:]] = True
-    return Automaton(vocabulary, pairs, step, link, depth, [sorted(set(e)) for e in ends], found, list(templates), [len(coded[t]) for t in range(len(templates))], list(phrases.values()))
+    held: list[list[tuple[int, int, list[int]]]] = [[] for _ in step]
+    for v in sorted(range(1, len(step)), key=lambda v: depth[v]):
+        own = defaultdict(list)
+        for t, i in sorted(set(ends[v])):
+            own[t].append(i)
+        held[v] = [(t, depth[v], places) for t, places in own.items()] + [x for x in held[link[v]] if x[0] not in own]
+    return Automaton(vocabulary, pairs, step, link, depth, held, found, list(templates), [len(coded[t]) for t in range(len(templates))], list(phrases.values()))
 
 
 def statistics(words: list[bytes], a: Automaton):
@@ -175,11 +184,32 @@ def statistics(words: list[bytes], a: Automaton):
                 yield i, length, v
 
 
-def chain(matches: list[tuple[int, int, int]], size: int, gap: int) -> tuple[float, int, int]:
-    """Best (covered share, first word, last word) of a template; matches are (text start, template start, words)."""
+def template_matches(words: list[bytes], a: Automaton, least: int) -> dict[int, list[tuple[int, int, int]]]:
+    """Of each template its (text start, template start, words) that it does not hold longer, of ``least`` words or more."""
+    out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    open_: dict[int, tuple[int, list[int]]] = {}  # template: words, places of the last word
+    last = -2
+
+    def close(t: int) -> None:
+        n, places = open_.pop(t)
+        if n >= least:
+            out[t] += [(last - n + 1, end - n + 1, n) for end in places]
+
+    for i, length, v in statistics(words, a) if len(words) > 1 else ():
+        now = {t: (min(n, length), places) for t, n, places in a.held[v]}
+        for t in [*open_]:
+            if i != last + 1 or t not in now or now[t][0] != open_[t][0] + 1:
+                close(t)
+        open_, last = now, i
+    for t in [*open_]:
+        close(t)
+    return out
+
+
+def chains(matches: list[tuple[int, int, int]], size: int, gap: int, cover: float) -> list[tuple[float, int, int]]:
+    """(covered share, first word, last word) of chains of a template's matches (text start, template start, words) that cover ``cover`` or more, best first; none overlaps another."""
     matches = sorted(matches)
     best: list[tuple[int, int]] = []  # words covered by the best chain that ends here; where it starts
-    top = (0.0, 0, 0)
     for i, (x, y, n) in enumerate(matches):
         own = (n, x)
         for j in range(i - 1, -1, -1):
@@ -190,34 +220,27 @@ def chain(matches: list[tuple[int, int, int]], size: int, gap: int) -> tuple[flo
             if px < x and py < y and skip < n and abs((x - px) - (y - py)) <= gap:
                 own = max(own, (best[j][0] + n - skip, best[j][1]), key=lambda c: (c[0], -c[1]))
         best.append(own)
-        top = max(top, (own[0] / size, own[1], x + n - 1), key=lambda c: c[0])
-    return top
+    found = [(k / size, first, x + n - 1) for (k, first), (x, _, n) in zip(best, matches, strict=True) if k >= cover * size]
+    taken: list[tuple[int, int]] = []
+    out = []
+    for share, first, last in sorted(found, key=lambda c: (-c[0], c[1], c[2])):
+        at = bisect_left(taken, (last + 1,))
+        if at == 0 or taken[at - 1][1] < first:
+            insort(taken, (first, last))
+            out.append((share, first, last))
+    return out
 
 
 def scan(text: str | None, a: Automaton, least: int = 3, cover: float = 0.7, gap: int = 12) -> dict:
     """Base places and labels, labels with those of covered templates, their spans, and the score of one text."""
     words = words_of(text)
-    places, base, last = [], set(), None
-    long: dict[int, list] = defaultdict(list)
-
-    def close(match) -> None:
-        i, length, v = match
-        if length >= least:
-            for t, end in a.ends[v]:
-                long[t].append((i - length + 1, end - length + 1, length))
-
+    places, base = [], set()
     for i, length, v in statistics(words, a) if len(words) > 1 else ():
         for n, k in a.phrases[v]:
             if n <= length:
                 places.append(i - n + 1)
                 base.add(a.phrase_labels[k])
-        if last and not (i == last[0] + 1 and length == last[1] + 1):
-            close(last)
-        last = (i, length, v)
-    if last:
-        close(last)
-    spans = [(a.names[t], *chain(m, a.sizes[t], gap)) for t, m in sorted(long.items())]
-    spans = [s for s in spans if s[1] >= cover]
+    spans = [(a.names[t], *c) for t, m in sorted(template_matches(words, a, least).items()) for c in chains(m, a.sizes[t], gap, cover)]
     best = max([1.0 if places else 0.0, *(s[1] for s in spans)])
     return {"n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {s[0] for s in spans})), "score": min(1.0, best), "spans": spans}
 
