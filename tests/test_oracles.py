@@ -43,13 +43,21 @@ def test_oracle(spark, duck, name):
     assert in_order(got) == in_order(want)
 
 
-SLOW = {"m2_dilate_16", "m16_fill_holes", "q3_bone_region", "q5_fields", "q13_healthy_bone", "d10_fitted_probabilities"}
+#: Rows that queries without an oracle have at the smallest size, by their definitions: of the table, a grid or bins.
+ROWS = {
+    "c7_largest_component": lambda n: 0 < n < 32000, "c4_components": lambda n: 0 < n < 16000, "q1_segment_implant": lambda n: 0 < n < 32000,
+    "q3_bone_region": lambda n: n < 32000, "q5_fields": lambda n: 0 < n <= 32000, "q4_implant_data": lambda n: n == 32000,
+    "q9_segmentation": lambda n: n > 0, "g22_ellipsoids": lambda n: n == 10, "q2_frame_of_reference": lambda n: n == 3,
+}
 
 
-@pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(own.QUERIES) - set(own.ORACLES)))
 def test_runs(spark, name):
     df = own.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    rows = df.collect()
+    assert ROWS.get(name, lambda n: n > 0)(len(rows)) and len(set(df.columns)) == len(df.columns)
+    numbers = [v for r in rows for v in r if isinstance(v, float)]
+    assert all(v == v for v in numbers), "no result is NaN"
 
 
 def test_entry_without_corpus_queries(spark):

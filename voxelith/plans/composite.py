@@ -102,7 +102,7 @@ def q6_histograms(spark, d):
     """Field histogram without its border rows, smoothed in the plane."""
     nz = fx.extent(spark, d)[0]
     hist = histogram.field_histogram(fx.vox(spark, d), fx.field2(spark, d), (nz, 20, 64), (nz // 2, 10, 32), (1, 65535), (1, 65535), (32, 64))
-    return histogram.smooth_plane(hist.where("row > 0 and row < 31"), 32, 64, 3)
+    return rounded(histogram.smooth_plane(hist.where("row > 0 and row < 31"), 32, 64, 3), 6)
 
 
 @query()

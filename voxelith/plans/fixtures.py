@@ -67,6 +67,7 @@ VOX = """vox AS (SELECT CAST(vec_id // 20 AS INT) z, CAST(vec_id % 20 AS INT) y,
 SVOX = """svox AS (SELECT CAST(l_orderkey % 128 AS INT) z, CAST(l_partkey % 128 AS INT) y, CAST((l_suppkey * 31 + l_linenumber) % 128 AS INT) x,
  CAST(max(floor(l_extendedprice)) % 65535 AS INT) + 1 v FROM lineitem GROUP BY 1, 2, 3)"""
 DIM = "dim AS (SELECT CAST((max(vec_id) + 1) // 20 AS INT) nz FROM embeddings)"
+EXT = "ext AS (SELECT CAST((max(vec_id) + 20) // 20 AS INT) nz FROM embeddings)"
 FIELD2 = """field2 AS (SELECT CAST(z // 2 AS INT) z, CAST(y // 2 AS INT) y, CAST(x // 2 AS INT) x, CAST(sum(v) // 8 AS INT) f
  FROM vox WHERE z // 2 < (SELECT (max(z) + 1) // 2 FROM vox) GROUP BY 1, 2, 3)"""
 PROB = """prob AS (SELECT CAST(m.id AS INT) material, CAST(f.id AS INT) field_bin, CAST(b.id AS INT) voxel_bin,

@@ -292,4 +292,5 @@ def d18_piecewise_quadratic(spark, d):
 
 @query()
 def m18_fft_rows(spark, d):
-    return models.fft_rows(zhist(spark, d), 64)
+    f = models.fft_rows(zhist(spark, d), 64)
+    return f.select("row", "k", *[(F.round(c, 4) + 0.0).alias(c) for c in ("re", "im")])

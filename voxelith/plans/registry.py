@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from voxelith.plans import fixtures as fx
 
-CTES = {"vox": fx.VOX, "svox": fx.SVOX, "dim": fx.DIM, "field2": fx.FIELD2, "prob": fx.PROB, "lab": fx.LABELS, "box": fx.BOX}
+CTES = {"vox": fx.VOX, "svox": fx.SVOX, "dim": fx.DIM, "ext": fx.EXT, "field2": fx.FIELD2, "prob": fx.PROB, "lab": fx.LABELS, "box": fx.BOX}
 NEEDS = {"field2": ["vox"], "box": ["vox"]}
 
 
