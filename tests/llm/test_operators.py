@@ -153,6 +153,19 @@ def test_targets_by_clamping_again_and_again(spark):
             assert all(abs(r.target - want[r.source]) <= 1e-9 * max(1, r.target) for r in mixing.targets(table, share=share).collect())
 
 
+def test_mixing_against_sql(spark):
+    import duckdb
+
+    from voxelith.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = queries.op4_mixing(spark, sf)
+    want = db.execute(f"select {', '.join(got.columns)} from ({queries.ORACLES['op4_mixing']})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
 def test_mixing_of_one_row_many_times(spark):
     rows = [(None, "a few words here", "s")] * 500 + [(i, "one two " * (i % 5), "s") for i in range(50)] + [(1, "other source", "t")] * 30
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")

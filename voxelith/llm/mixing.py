@@ -57,11 +57,12 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     """doc_id, source, size, source_size, target, whole (copies), part (words of one more copy) and taken, with ``keep``."""
     own = ["doc_id", "source", "size", "source_size", "target", "whole", "part", "taken"]
     cols = kept_columns(keep, own)
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *cols, n_words(text).alias("size"), F.xxhash64(F.col(text)).alias("__text"), F.spark_partition_id().alias("__deal"))
-    draw = F.xxhash64(F.lit(seed), "doc_id", "source", "size", "__text")
-    bucket = F.pmod(F.shiftrightunsigned(draw, 32), F.lit(buckets)).cast("int")
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *cols, n_words(text).alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("__text"), F.spark_partition_id().alias("__deal"))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    light = stored(sized.withColumns({"__draw": draw, "__bucket": bucket, "__key": key}).drop("__text"), "sized")
+    name = F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), key, F.col("size").cast("string"), "__text")
+    draw = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")  # 60 bits
+    sized = sized.withColumns({"__key": key, "__draw": draw}).drop("__text")
+    light = stored(sized.withColumn("__bucket", F.expr(f"cast(__draw div {(1 << 60) // buckets + 1} as int)")), "sized")
     hist = stored(light.groupBy("__key", "source", "__bucket").agg(F.sum("size").alias("n"), F.count("*").alias("docs")), "bucket-sizes")
     aims = targets(hist.groupBy("__key", "source").agg(F.sum("n").alias("source_size"), F.sum("docs").alias("__docs")), weights, share, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")

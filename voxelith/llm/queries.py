@@ -79,4 +79,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_simhash, op3_toxicity, op4_mixing, op5_tiff, op6_packing, op7_suffix_dedup, op8_quality, op9_licenses, op10_sharding)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mixing": r"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) size, text FROM documents),
+d2 AS (SELECT doc_id, source, size, CAST('0x' || substr(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce('s' || source, 'null') || '|' || CAST(size AS VARCHAR) || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) draw FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM d GROUP BY 1),
+w AS (SELECT *, CAST(2 AS DOUBLE) * source_size lim, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) weight FROM s),
+c AS (SELECT *, (CAST(1.5 AS DOUBLE) * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+ / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(lim, weight * coalesce(max(CASE WHEN weight * level <= lim THEN level END) OVER (), CAST('inf' AS DOUBLE))) target FROM c),
+a AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INT) ELSE 0 END whole FROM t),
+r AS (SELECT d2.doc_id, d2.size, a.source_size, a.target, a.whole, greatest(0, CAST(floor(a.target) AS BIGINT) - a.whole * a.source_size) rest,
+ coalesce(sum(d2.size) OVER (PARTITION BY d2.source ORDER BY d2.draw, d2.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) sofar FROM d2 JOIN a ON d2.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, source_size, target, whole, CAST(greatest(0, least(size, rest - sofar)) AS BIGINT) AS part, CAST(size * whole + greatest(0, least(size, rest - sofar)) AS BIGINT) AS taken FROM r""",
+}
