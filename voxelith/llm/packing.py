@@ -21,6 +21,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -33,6 +34,7 @@ from voxelith.llm.texts import release, slices
 
 CAPACITY = 1024
 SPLIT = re.compile(r"(?<=\S)(?= \S)")
+OTHER = re.compile(r"[^\S \n]")  # white space but space and line feed
 #: The pre-tokenizer whose words can be tokenized one by one; with any other, texts are tokenized whole.
 BY_WORDS = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
@@ -81,8 +83,8 @@ class PieceIds:
         out: list[bytes] = []
         for a, b in slices(map(len, texts), self.slice_chars):
             lines = [[x.split(" ") for x in t.split("\n")] for t in texts[a:b]]
-            # no other white space, and none beside another: all words are as split() finds them
-            clean = [not t or t.split() == [w for x in parts for w in x] for t, parts in zip(texts[a:b], lines, strict=True)]
+            # no other white space, and none beside another
+            clean = [not t or not (OTHER.search(t) or any("" in x for x in parts)) for t, parts in zip(texts[a:b], lines, strict=True)]
             lines = [parts if ok else [] for parts, ok in zip(lines, clean, strict=True)]
             if self.held > self.limit:
                 self.tables, self.held = {"": {"": b""}, " ": {}}, 0
@@ -104,19 +106,33 @@ def by_words(tokenizer) -> bool:
     return not parts["normalizer"] and all(pre.get(k) == v for k, v in BY_WORDS.items())
 
 
-def pieces(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY, table_bytes: int = 50_000_000) -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of each piece; a task's table of words holds ``table_bytes``."""
+def _tokenize(path: str, table_bytes: int):
+    """The function from texts to their ids."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    return PieceIds(model, table_bytes).many if by_words(model) else lambda texts: [ids_of(model, t) for t in texts]
+
+
+@lru_cache(maxsize=1)
+def _kept(path: str, table_bytes: int):
+    return _tokenize(path, table_bytes)
+
+
+def pieces(docs: DataFrame, *, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = CAPACITY, table_bytes: int = 120_000_000, keep_table: bool = True) -> DataFrame:
+    """doc_id, start, length, ids_crc32 and doc_tokens of each piece.
+
+    A table of words holds ``table_bytes`` at most. With ``keep_table`` a worker keeps it for its next task, so that
+    fewer words are tokenized again; without, it goes with its task, where memory matters more.
+    """
     kind = dict(docs.dtypes)[doc_id]
 
     def cut(batches):
         import os
 
-        from tokenizers import Tokenizer
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         release()
-        model = Tokenizer.from_file(tokenizer)
-        many = PieceIds(model, table_bytes).many if by_words(model) else lambda texts: [ids_of(model, t) for t in texts]
+        many = (_kept if keep_table else _tokenize)(tokenizer, table_bytes)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in batches:
             out = defaultdict(list)
