@@ -52,7 +52,7 @@ class PieceIds:
     time. Texts with other white space are cut only where a single space stands between other characters.
     """
 
-    def __init__(self, tokenizer, limit: int = 50_000_000, slice_chars: int = 1 << 20):
+    def __init__(self, tokenizer, limit: int = 50_000_000, slice_chars: int = 1 << 23):
         self.tokenizer, self.limit, self.slice_chars, self.held = tokenizer, limit, slice_chars, 0
         self.tables: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
         self.feed = self.encode("\n")
@@ -67,16 +67,13 @@ class PieceIds:
 
     def learn(self, lead: str, words: list[str], group: int = 512) -> None:
         """Tokenize new words; with a lead they keep the space, without one a line feed parts them."""
-        table, joint = self.tables[lead], lead or "\n"
-        for at in range(0, len(words), group):
-            part = words[at : at + group]
-            ids = np.array(self.tokenizer.encode(joint + joint.join(part), add_special_tokens=False).ids, "<u4")
-            starts = np.flatnonzero(self.joints[joint][ids])
-            ends = [*starts[1:].tolist(), len(ids)]
-            skip = 0 if lead else 1
-            for w, a, b in zip(part, starts.tolist(), ends, strict=True):
-                table[w] = ids[a + skip : b].tobytes()
-                self.held += len(w) + 4 * (b - a) + 160
+        table, joint, skip = self.tables[lead], lead or "\n", 0 if lead else 4
+        groups = [words[at : at + group] for at in range(0, len(words), group)]
+        for part, found in zip(groups, self.tokenizer.encode_batch_fast([joint + joint.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.joints[joint][ids])).tolist()
+            table.update(zip(part, [raw[a + skip : b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
+            self.held += sum(map(len, part)) + len(raw) + 160 * len(part)
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
@@ -89,8 +86,13 @@ class PieceIds:
             if self.held > self.limit:
                 self.tables, self.held = {"": {"": b""}, " ": {}}, 0
             head, body = self.tables[""], self.tables[" "]
-            self.learn("", [*{x[0] for t in lines for x in t} - head.keys()])
-            self.learn(" ", [*{w for t in lines for x in t for w in x[1:]} - body.keys()])
+            first, rest = set(), set()
+            for t in lines:
+                for x in t:
+                    first.add(x[0])
+                    rest.update(x[1:])
+            self.learn("", [*first - head.keys()])
+            self.learn(" ", [*rest - body.keys()])
             for t, parts, ok in zip(texts[a:b], lines, clean, strict=True):
                 if ok:
                     out.append(self.feed.join([b"".join([head[x[0]], *map(body.__getitem__, x[1:])]) for x in parts]))

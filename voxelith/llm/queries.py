@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelith.llm.texts import documents, held_out
+from voxelith.llm.texts import documents, held_out, small_batches
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from voxelith.llm.packing import pack, pieces
 
-    return pack(pieces(documents(spark, sf_dir), tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
+    docs = documents(spark, sf_dir)
+    small_batches(spark, 4000, 8 << 20)  # fewer words are looked up again in larger batches, and no other stage needs the memory
+    return pack(pieces(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
