@@ -91,9 +91,9 @@ def test_chunk_merge(spark):
 @settings(deadline=None)
 @given(st.lists(st.one_of(st.none(), st.integers(0, 60)), min_size=1, max_size=30))
 def test_lower_envelope(costs):
-    c = np.array([np.inf if x is None else x for x in costs], float)
-    n = np.arange(len(c))
-    assert (distance.lower_envelope(c) == ((n[:, None] - n) ** 2 + c).min(1)).all()
+    c = np.array([[np.inf if x is None else x for x in costs], [0.0 if i % 3 else np.inf for i in range(len(costs))]], float)
+    n = np.arange(c.shape[1])
+    assert (distance.lower_envelope(c) == ((n[:, None] - n) ** 2 + c[:, None]).min(2)).all()
 
 
 def test_distances(spark, mask):

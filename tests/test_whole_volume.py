@@ -54,6 +54,42 @@ def test_components_of_the_whole_volume(spark):
     assert got == sorted((*p[0], len(p)) for p in parts(volume(spark) > 32000))
 
 
+def test_components_across_tiles(spark):
+    """Tiles far smaller than the components, so that labels meet on all six faces."""
+    from voxelith.operators import components
+
+    mask = fx.vox(spark, SMALL).where("v > 32000").select("z", "y", "x")
+    got = sorted(tuple(r) for r in components.canonical(components.label_volume(mask, 4, 7)).select("z", "y", "x", "n").collect())
+    assert got == sorted((*p[0], len(p)) for p in parts(volume(spark) > 32000))
+    with pytest.raises(ValueError):
+        components.label_volume(mask, 300, 256)
+
+
+def test_inertia_far_from_the_origin(spark):
+    """Moved by a million voxels the tensor stays, to the last digits."""
+    from pyspark.sql import functions as F
+
+    from voxelith.operators import geometry
+
+    m = fx.vox(spark, SMALL).where("v > 50000")
+    far = m.select(*[(F.col(c) + 1_000_000).alias(c) for c in "zyx"], "v", F.lit(1).cast("long").alias("label"))
+    here, there = geometry.inertia(m).first(), geometry.inertia(far).first()
+    assert all(abs(a - b) <= 1e-9 * abs(a) + 1e-3 for a, b in zip(here, there, strict=True))
+    one, two = geometry.inertias(m.withColumn("label", F.lit(1))).first(), geometry.inertias(far).first()
+    assert all(abs(a - b) <= 1e-6 * abs(a) + 1e-3 for a, b in zip(one[1:], two[1:], strict=True))
+
+
+def test_smoothing_with_a_kernel_wider_than_the_row(spark):
+    from voxelith.operators import histogram
+
+    rows = [(0, 0, 5), (0, 1, 0), (0, 2, 7), (0, 3, 1)]
+    got = {r.bin: r.s for r in histogram.smooth_rows(spark.createDataFrame(rows, "row int, bin int, n long"), 4, 3).collect()}
+    w, n = histogram.kernel(3), [5, 0, 7, 1]
+    mirror = [n[k % 8] if k % 8 < 4 else n[7 - k % 8] for k in range(-12, 16)]
+    for b in range(4):
+        assert abs(got[b] - sum(w[j] * mirror[12 + b + j - 12] for j in range(25))) < 1e-9
+
+
 def test_largest_component_of_the_whole_volume(spark):
     got = sorted(tuple(r) for r in own.QUERIES["c7_largest_component"](spark, SMALL).select("z", "y", "x").collect())
     found = parts(volume(spark) > 34000)

@@ -31,9 +31,18 @@ def block_mask(vol: DataFrame, mask: DataFrame, scale: int, last_z: int) -> Data
     return vol.select("*", *keys).join(side, ["mz", "my", "mx"], "left_semi").drop("mz", "my", "mx")
 
 
+#: A table of at most so many rows is sent to all tasks.
+SMALL = 1_000_000
+
+
+def small(table: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``table``, to be broadcast if it has at most ``rows`` rows, else joined by shuffle; counts no further than that."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 def with_table(vol: DataFrame, prob: DataFrame) -> DataFrame:
-    """Look up a probability table (material, field_bin, voxel_bin, p): sent to all tasks, its size is its bins'."""
-    return vol.join(F.broadcast(prob), ["field_bin", "voxel_bin"])
+    """Look up a probability table (material, field_bin, voxel_bin, p), which has a row a bin."""
+    return vol.join(small(prob), ["field_bin", "voxel_bin"])
 
 
 def slab_pairs(labels: DataFrame, height: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components of masks: labels within slabs, merged across slab boundaries."""
+"""Connected components of masks: labels within tiles, merged across their faces."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelith.operators.align import small
 from voxelith.operators.voxels import ZYX
+from voxelith.sources.scratch import kept
 
 
 def label_slab(z: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -41,24 +43,29 @@ def label_slab(z: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def label_slabs(mask: DataFrame, slab: int) -> DataFrame:
-    """(z, y, x, label) with labels unique over slabs of ``slab`` slices: the slab's number above, its own below."""
+def label_slabs(mask: DataFrame, slab: int, tile: int | None = None) -> DataFrame:
+    """(z, y, x, label) with labels unique over slabs of ``slab`` slices: the slab's number above, its own below.
+
+    With ``tile`` a slab is cut into tiles of that many lines and columns, each labelled on its own, so that a group
+    holds slab x tile x tile voxels at most whatever the size of a slice; at most 1024 tiles along y and x.
+    """
+    cell = slab * (tile or 1) ** 2 if tile else None
+    if cell and cell >= 1 << 24:
+        raise ValueError("a tile holds 2**24 voxels at most")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z, y, x = (pdf[c].to_numpy() for c in ZYX)
         part = int(z[0]) // slab
-        return pd.DataFrame({"z": z, "y": y, "x": x, "label": (part << 40) + label_slab(z - part * slab, y, x) + 1})
+        base = part << 40 if tile is None else ((part << 20) + (int(y[0]) // tile << 10) + int(x[0]) // tile) << 24
+        return pd.DataFrame({"z": z, "y": y, "x": x, "label": base + label_slab(z - part * slab, y, x) + 1})
 
     once = mask.select(*ZYX).distinct()
-    return once.groupBy(F.floor(F.col("z") / slab).alias("__slab")).applyInPandas(run, "z int, y int, x int, label long")
+    keys = [F.floor(F.col("z") / slab).alias("__slab")] + [F.floor(F.col(c) / tile).alias(f"__{c}") for c in "yx" if tile]
+    return once.groupBy(*keys).applyInPandas(run, "z int, y int, x int, label long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of an edge table (a, b) by alternating stars; root is the least node that can be reached."""
-    spark = edges.sparkSession
-
-    def cut(df: DataFrame) -> DataFrame:
-        return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df.persist()
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -70,9 +77,9 @@ def connected(edges: DataFrame) -> DataFrame:
         linked = out.where("b > a" if large else "true").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return (linked if large else linked.union(least.select("a", F.col("m").alias("b")))).where("a <> b").distinct()
 
-    now, before = cut(edges.select("a", "b").where("a <> b").distinct()), None
+    now, before = kept(edges.select("a", "b").where("a <> b").distinct(), "edges"), None
     while True:
-        now = cut(star(star(now, True), False))
+        now = kept(star(star(now, True), False), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -83,18 +90,23 @@ def connected(edges: DataFrame) -> DataFrame:
 def merge_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels after joining those that ``edges`` (a, b) link; a component is named by its least label."""
     roots = connected(edges)
-    return labels.join(roots, labels["label"] == roots["node"], "left").withColumn("label", F.coalesce("root", "label")).drop("node", "root")
+    return labels.join(small(roots), labels["label"] == roots["node"], "left").withColumn("label", F.coalesce("root", "label")).drop("node", "root")
 
 
-def label_volume(mask: DataFrame, slab: int = 16) -> DataFrame:
+def label_volume(mask: DataFrame, slab: int = 16, tile: int = 256) -> DataFrame:
     """(z, y, x, label) of a mask's components under face neighbourhood.
 
-    Slabs are labelled on their own; only labels that meet on slab boundaries form the graph that is solved.
+    Tiles are labelled on their own, once; only labels that meet on the faces between tiles form the graph that is
+    solved. Labels are joined with their roots by tile, so that a component through the whole volume is no hot key.
     """
-    local = label_slabs(mask, slab)
-    low = local.where((F.col("z") + 1) % slab == 0).select((F.col("z") + 1).alias("z"), "y", "x", F.col("label").alias("a"))
-    high = local.where(F.col("z") % slab == 0).select(*ZYX, F.col("label").alias("b"))
-    return merge_labels(local, low.join(high, ZYX).select("a", "b").distinct())
+    local = kept(label_slabs(mask, slab, tile), "labels")
+    edges = None
+    for axis, n in zip(ZYX, (slab, tile, tile), strict=True):
+        low = local.where((F.col(axis) + 1) % n == 0).withColumn(axis, F.col(axis) + 1).withColumnRenamed("label", "a")
+        high = local.where(F.col(axis) % n == 0).withColumnRenamed("label", "b")
+        pairs = low.join(high, ZYX).select("a", "b")
+        edges = pairs if edges is None else edges.union(pairs)
+    return merge_labels(local, edges.distinct())
 
 
 def canonical(labels: DataFrame) -> DataFrame:

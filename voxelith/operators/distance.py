@@ -13,25 +13,36 @@ Shape = tuple[int, int, int]
 
 
 def lower_envelope(cost: np.ndarray) -> np.ndarray:
-    """min over q of (p - q)^2 + cost[q] for each p: the envelope of parabolas; infinite costs have none."""
-    n = len(cost)
-    (used,) = np.nonzero(np.isfinite(cost))
-    if not len(used):
-        return cost.copy()
-    tops, bounds = [int(used[0])], [-np.inf]
-    for q in used[1:].tolist():
-        while True:
-            p = tops[-1]
-            s = ((cost[q] + q * q) - (cost[p] + p * p)) / (2 * (q - p))
-            if s > bounds[-1]:
-                break
-            tops.pop()
-            bounds.pop()
-        tops.append(q)
-        bounds.append(s)
-    at = np.searchsorted(bounds, np.arange(n), side="left") - 1
-    q = np.array(tops)[np.maximum(at, 0)]
-    return (np.arange(n) - q) ** 2 + cost[q]
+    """min over q of (p - q)^2 + cost[line, q] for each line and p: envelopes of parabolas, all lines at a time; infinite costs have none."""
+    lines, n = cost.shape
+    tops, bounds = np.zeros((lines, n), np.int32), np.empty((lines, n + 1))
+    last = np.full(lines, -1)
+    finite = np.isfinite(cost)
+    for q in range(n):
+        at = np.flatnonzero(finite[:, q])
+        while len(at):
+            k = last[at]
+            p = tops[at, np.maximum(k, 0)]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = ((cost[at, q] + q * q) - (cost[at, p] + p * p)) / (2.0 * (q - p))
+            s[k < 0] = -np.inf
+            covered = (k >= 0) & (s <= bounds[at, np.maximum(k, 0)])
+            on = ~covered
+            last[at[on]] += 1
+            tops[at[on], last[at[on]]] = q
+            bounds[at[on], last[at[on]]] = s[on]
+            at = at[covered]
+            last[at] -= 1
+    bounds[np.arange(lines), last + 1] = np.inf
+    out, k, used = np.full((lines, n), np.inf), np.zeros(lines, np.int64), np.flatnonzero(last >= 0)
+    for p in range(n):
+        behind = used[bounds[used, k[used] + 1] < p]
+        while len(behind):
+            k[behind] += 1
+            behind = behind[bounds[behind, k[behind] + 1] < p]
+        q = tops[used, k[used]]
+        out[used, p] = (p - q) ** 2 + cost[used, q]
+    return out
 
 
 def squared_distances(mask: DataFrame, shape: Shape, lines: int = 64) -> DataFrame:
@@ -51,7 +62,7 @@ def squared_distances(mask: DataFrame, shape: Shape, lines: int = 64) -> DataFra
             own, line = np.unique(pdf[inner].to_numpy(), return_inverse=True)
             cost = np.full((len(own), shape[at]), np.inf)
             cost[line, pdf[axis].to_numpy()] = pdf["d2"].to_numpy()
-            d2 = np.concatenate([lower_envelope(c) for c in cost])
+            d2 = lower_envelope(cost).ravel()
             cols = {outer: np.full(len(d2), o, np.int32), inner: np.repeat(own, shape[at]).astype(np.int32), axis: np.tile(np.arange(shape[at], dtype=np.int32), len(own))}
             return pd.DataFrame({**{c: cols[c] for c in ZYX}, "d2": d2})
 

@@ -24,26 +24,38 @@ def centres_of_mass(labels: DataFrame) -> DataFrame:
     return labels.where("label <> 0").groupBy("label").agg(*[F.avg(c).alias(f"c{c}") for c in AXES], F.count("*").alias("n"))
 
 
-def _moments(weight: Column) -> list[Column]:
-    m = [F.sum(weight).alias("m")] + [F.sum(weight * F.col(a)).alias(f"s{a}") for a in AXES]
-    return m + [F.sum(weight * F.col(a) * F.col(b)).alias(f"s{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]]
+PAIRS = tuple((a, b) for i, a in enumerate(AXES) for b in AXES[i:])
+BLOCK = 64
 
 
-def _central(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Inertia about the centre from raw moments, by the parallel-axis theorem."""
-    c = {a + b: F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("m") for i, a in enumerate(AXES) for b in AXES[i:]}
+def _tensor(rows: DataFrame, keys: list[str], c: dict[str, Column]) -> DataFrame:
+    """The inertia tensor from sums of products of coordinates about the centre."""
     out = {"izz": c["yy"] + c["xx"], "iyy": c["zz"] + c["xx"], "ixx": c["zz"] + c["yy"], "izy": -c["zy"], "izx": -c["zx"], "iyx": -c["yx"]}
     return rows.select(*keys, *[v.alias(k) for k, v in out.items()])
 
 
 def inertia(vol: DataFrame, weight: str = "v") -> DataFrame:
-    """The inertia tensor about the centre of mass, in one pass over the voxels."""
-    return _central(vol.agg(*_moments(dbl(F.col(weight)))), [])
+    """The inertia tensor about the centre of mass.
+
+    Moments are taken within blocks, from each block's corner, and joined by the parallel-axis theorem over one row
+    a block, so that no large numbers cancel however large the volume is.
+    """
+    w = dbl(F.col(weight))
+    cut = vol.select(w.alias("w"), *[F.expr(f"cast({a} div {BLOCK} as int)").alias(f"b{a}") for a in AXES], *[F.expr(f"cast({a} % {BLOCK} as double)").alias(a) for a in AXES])
+    sums = [F.sum("w").alias("m")] + [F.sum(F.col("w") * F.col(a)).alias(f"s{a}") for a in AXES] + [F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in PAIRS]
+    blocks = cut.groupBy("bz", "by", "bx").agg(*sums).where("m <> 0")
+    blocks = blocks.select("m", *[(F.col(f"s{a}") / F.col("m") + F.col(f"b{a}") * BLOCK).alias(f"c{a}") for a in AXES], *[(F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("m")).alias(f"p{a}{b}") for a, b in PAIRS])
+    centre = blocks.agg(*[(F.sum(F.col("m") * F.col(f"c{a}")) / F.sum("m")).alias(f"g{a}") for a in AXES])
+    about = blocks.crossJoin(F.broadcast(centre))  # one row
+    far = {a: F.col(f"c{a}") - F.col(f"g{a}") for a in AXES}
+    total = about.agg(*[F.sum(F.col(f"p{a}{b}") + F.col("m") * far[a] * far[b]).alias(a + b) for a, b in PAIRS])
+    return _tensor(total, [], {a + b: F.col(a + b) for a, b in PAIRS})
 
 
 def inertias(labels: DataFrame) -> DataFrame:
-    """The same for each label but 0, with unit weights."""
-    return _central(labels.where("label <> 0").groupBy("label").agg(*_moments(F.lit(1.0))), ["label"])
+    """The same for each label but 0, with unit weights: covariances, which Spark merges about their means."""
+    sums = [(F.covar_pop(dbl(F.col(a)), dbl(F.col(b))) * F.count("*")).alias(a + b) for a, b in PAIRS]
+    return _tensor(labels.where("label <> 0").groupBy("label").agg(*sums), ["label"], {a + b: F.col(a + b) for a, b in PAIRS})
 
 
 def eigenvalues(rows: DataFrame, keys: list[str]) -> DataFrame:

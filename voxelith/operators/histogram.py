@@ -90,8 +90,9 @@ def smooth_rows(hist: DataFrame, bins: int, sigma: float, border: str = "reflect
     reach = hist.where("n <> 0").select("row", "bin", dbl(F.col("n")).alias("n"))
     places = [F.col("bin")]
     if border == "reflect":
-        # positions outside that mirror this bin, for kernels up to a whole row
-        places += [-1 - F.col("bin"), F.lit(2 * bins - 1) - F.col("bin")]
+        # positions outside that mirror this bin: rows repeat every two lengths, there and back
+        times = r // (2 * bins) + 1
+        places += [F.col("bin") + 2 * bins * k for k in range(-times, times + 1) if k] + [2 * bins * k - 1 - F.col("bin") for k in range(-times, times + 1)]
     spread = reach.select("row", "n", F.explode(F.array(*places)).alias("p")).where(F.col("p").between(-r, bins - 1 + r))
     taps = spread.select("row", F.explode(F.transform(F.sequence(F.lit(-r), F.lit(r)), lambda d: F.struct((F.col("p") + d).alias("bin"), (F.col("n") * F.element_at(weights, (d + r + 1).cast("int"))).alias("s")))).alias("t"))
     summed = taps.select("row", "t.*").where(F.col("bin").between(0, bins - 1)).groupBy("row", "bin").agg(F.sum("s").alias("s"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelith.functions.scalar import dbl, exponential, gaussian, lorentzian, power, value_bin
-from voxelith.operators.align import with_field, with_table
+from voxelith.operators.align import small, with_field, with_table
 from voxelith.operators.histogram import dense, otsu, smooth_plane
 from voxelith.operators.voxels import ZYX, value_range
 
@@ -189,7 +189,7 @@ def weighted_probability(vol: DataFrame, tables: dict[str, tuple[DataFrame, floa
     out = value_range(vol, *vrange).withColumn("bin", value_bin(F.col("v"), *vrange, bins)).withColumn("total", F.lit(0.0))
     for name, (table, weight) in tables.items():
         side = table.select(F.col("row").alias("__row"), "bin", F.col("p").alias("__p"))
-        out = out.withColumn("__row", rows[name]).join(F.broadcast(side), ["__row", "bin"], "left")
+        out = out.withColumn("__row", rows[name]).join(small(side), ["__row", "bin"], "left")
         out = out.withColumn("total", F.col("total") + F.coalesce("__p", F.lit(0.0)) * float(weight)).drop("__row", "__p")
     return out.drop("bin")
 

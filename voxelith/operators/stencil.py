@@ -149,7 +149,7 @@ def fill_holes(mask: DataFrame, shape: Shape) -> DataFrame:
     """The mask with all background that can't be reached from the volume's border."""
     from voxelith.operators.components import label_volume
 
-    empty = label_volume(complement(mask, shape), slab=max(1, shape[0] // 4))
+    empty = label_volume(complement(mask, shape))
     edge = F.lit(False)
     for c, n in zip(ZYX, shape, strict=True):
         edge = edge | (F.col(c) == 0) | (F.col(c) == n - 1)

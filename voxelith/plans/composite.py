@@ -139,13 +139,12 @@ def q13_healthy_bone(spark, d):
 @query()
 def stream_histograms(spark, d):
     """Histograms of slabs that arrive as files: equal to those of the whole volume."""
-    import tempfile
     import uuid
 
+    from voxelith.sources import scratch
     from voxelith.streaming import histograms as stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path, name = f"{root}/slabs-{uuid.uuid4().hex}", f"stream_{uuid.uuid4().hex}"
+    path, name = scratch.fresh(spark, "slabs"), f"stream_{uuid.uuid4().hex}"
     fx.vox(spark, d).repartition(5, (F.col("z") / 5).cast("int")).write.parquet(path)
     q = stream.to_memory(stream.axis_counts(stream.slabs(spark, path, 1), 1, 65535, 64, ("z",)), name)
     q.processAllAvailable()

@@ -9,7 +9,7 @@ from voxelith.operators import align, components, geometry, histogram, models, r
 from voxelith.plans import composite
 from voxelith.plans import fixtures as fx
 from voxelith.plans.registry import Registry
-from voxelith.sources import raw
+from voxelith.sources import raw, scratch
 
 REGISTRY = query = Registry()
 ZYX = ["z", "y", "x"]
@@ -38,11 +38,7 @@ def s20_chunks(spark, d):
 @query("vox", "SELECT z, y, x, v FROM vox WHERE z < 6")
 def s21_replace_partition(spark, d):
     """A stored volume whose second slab was written twice: the last writing holds, the others stay."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path, v = f"{root}/volume-{uuid.uuid4().hex}", fx.vox(spark, d).where("z < 6")
+    path, v = scratch.fresh(spark, "volume"), fx.vox(spark, d).where("z < 6")
     raw.write_slices(v.withColumn("v", F.when(F.col("z") >= 2, 7).otherwise(F.col("v"))), path, 2)
     raw.write_slices(v.where("z >= 2"), path, 2)
     return raw.load_slices(spark, path, (0, 6), 2).select(*ZYX, "v")
@@ -51,14 +47,10 @@ def s21_replace_partition(spark, d):
 @query("vox", "SELECT z, y, x, v FROM vox")
 def s21_replace_partition_all(spark, d):
     """The same over the whole volume: every slab but the first is written twice, and all slices are read back."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path, v, slab = f"{root}/volume-{uuid.uuid4().hex}", fx.vox(spark, d), 8
+    path, v, slab = scratch.fresh(spark, "volume"), fx.vox(spark, d), 8
     raw.write_slices(v.withColumn("v", F.when(F.col("z") >= slab, 7).otherwise(F.col("v"))), path, slab)
     raw.write_slices(v.where(F.col("z") >= slab), path, slab)
-    return raw.load_slices(spark, path, (0, fx.shape(spark, d)[0]), slab).select(*ZYX, "v")
+    return raw.load_slices(spark, path, (0, fx.extent(spark, d)[0]), slab).select(*ZYX, "v")
 
 
 @query("vox", "SELECT z, y, x FROM vox")
