@@ -43,6 +43,12 @@ def ids_of(tokenizer, text: str) -> bytes:
     return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def crowded(text: str) -> bool:
+    """Whether a text has other white space than single spaces and line feeds between other characters."""
+    beside = any(two in text for two in ("  ", "\n\n", " \n", "\n "))
+    return bool(text) and (beside or text[0] in " \n" or text[-1] in " \n" or OTHER.search(text) is not None)
+
+
 class PieceIds:
     """Ids of texts as little-endian 32-bit bytes, by words.
 
@@ -80,8 +86,7 @@ class PieceIds:
         out: list[bytes] = []
         for a, b in slices(map(len, texts), self.slice_chars):
             lines = [[x.split(" ") for x in t.split("\n")] for t in texts[a:b]]
-            # no other white space, and none beside another
-            clean = [not t or not (OTHER.search(t) or any("" in x for x in parts)) for t, parts in zip(texts[a:b], lines, strict=True)]
+            clean = [not crowded(t) for t in texts[a:b]]
             lines = [parts if ok else [] for parts, ok in zip(lines, clean, strict=True)]
             if self.held > self.limit:
                 self.tables, self.held = {"": {"": b""}, " ": {}}, 0
@@ -91,8 +96,8 @@ class PieceIds:
                 for x in t:
                     first.add(x[0])
                     rest.update(x[1:])
-            self.learn("", [*first - head.keys()])
-            self.learn(" ", [*rest - body.keys()])
+            self.learn("", [w for w in first if w not in head])
+            self.learn(" ", [w for w in rest if w not in body])
             for t, parts, ok in zip(texts[a:b], lines, clean, strict=True):
                 if ok:
                     out.append(self.feed.join([b"".join([head[x[0]], *map(body.__getitem__, x[1:])]) for x in parts]))
