@@ -89,6 +89,14 @@ def test_links_by_brute_force(spark, kw):
     assert all(got.get(x, x) == want[x] for x in fps)
 
 
+@pytest.mark.parametrize("bar", [1, 3, 10**9])
+def test_shared_keys(spark, monkeypatch, bar):
+    monkeypatch.setattr(joins, "hot_bar", lambda total: bar)
+    rows = [(k, i) for k, n in ((1, 1), (2, 2), (3, 5), (4, 40), (5, 1)) for i in range(n)]
+    got = Counter((r.key, r.v, r.n) for r in joins.shared(spark.createDataFrame(rows, "key long, v long"), "key", "test", buckets=3).collect())
+    assert got == Counter((k, i, n) for k, n in ((2, 2), (3, 5), (4, 40)) for i in range(n))
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (100, 99)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelith.llm.graph import components
-from voxelith.llm.joins import meet
+from voxelith.llm.joins import meet, shared
 from voxelith.llm.storage import stored
 from voxelith.llm.texts import kept_columns, release
 
@@ -178,14 +178,12 @@ def links(fps: DataFrame, *, bucket: int = 48, most: int = 8192) -> DataFrame:
                 yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     keyed = fps.mapInPandas(emit, "key long, fp long")
-    keyed = stored(keyed, "simhash-keys")
-    counts = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-counts")
-    shared = stored(meet(keyed, counts, ["key"], "n"), "simhash-shared")
-    small = shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("s"))
+    found = stored(shared(stored(keyed, "simhash-keys"), "key", "simhash"), "simhash-shared")
+    small = found.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("s"))
     pairs = small.select(F.explode(F.expr("flatten(transform(s, x -> transform(filter(s, y -> y > x and bit_count(x ^ y) <= 3), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b")
-    middle = shared.where(F.col("n").between(bucket + 1, most)).groupBy("key").agg(F.collect_list("fp").alias("s"))
+    middle = found.where(F.col("n").between(bucket + 1, most)).groupBy("key").agg(F.collect_list("fp").alias("s"))
     spanned = middle.mapInPandas(span, "a long, b long")
-    hot = shared.where(F.col("n") > most).select("fp").distinct()
+    hot = found.where(F.col("n") > most).select("fp").distinct()
     met = hot.mapInPandas(near, "word long, fp long, far byte")
     centre = met.groupBy("word").agg(F.min(F.when(F.col("far") <= 1, F.col("fp"))).alias("a"), F.count("*").alias("n")).where("a is not null and n > 1").drop("n")
     around = met.join(centre, "word").where("a <> fp and bit_count(a ^ fp) <= 3").select("a", F.col("fp").alias("b"))
