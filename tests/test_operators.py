@@ -235,14 +235,42 @@ def test_readers(spark, tmp_path):
     assert (dense(raw.edf_frames(spark, f"{tmp_path}/*.edf"), SHAPE, "v") == v).all()
     assert raw.edf_metadata(spark, f"{tmp_path}/scan_0001.edf").first().meta["Dim_1"] == str(SHAPE[2])
     assert (dense(raw.edf_region(spark, f"{tmp_path}/*.edf", (1, 2, 3), (5, 6, 6)), SHAPE, "v")[3:6, 2:6, 1:5] == v[3:6, 2:6, 1:5]).all()
-    (tmp_path / "scan.xml").write_text("<r><SIZEX> 12 </SIZEX><voxelSize>5.0</voxelSize></r>")
+    assert (dense(raw.edf_slice(spark, f"{tmp_path}/scan_{{:04d}}.edf", 4), SHAPE, "v")[4] == v[4]).all()
+    assert raw.edf_region(spark, f"{tmp_path}/*.edf", (0, 0, 90), (5, 6, 99)).count() == 0
+    (tmp_path / "high_0001.edf").write_bytes(b"{ ByteOrder = HighByteFirst ; }".ljust(1024))
+    with pytest.raises(Exception, match="LowByteFirst"):
+        raw.edf_metadata(spark, f"{tmp_path}/high_0001.edf").collect()
+    (tmp_path / "scan.xml").write_text("<r><SIZEX> 12 </SIZEX><voxelSize>5.0</voxelSize>\n<subvolume_name>bone_a_%04d.edf</subvolume_name></r>")
     meta = raw.scan_description(spark, f"{tmp_path}/scan.xml").first().meta
-    assert meta == {"SIZEX": "12", "voxelsize": "5.0"}
+    assert {k: meta[k] for k in meta if "name" not in k or k == "subvolume_name"} == {"sizex": "12", "voxelsize": "5.0", "experiment": "bone_a", "subvolume_name": "bone_a_{:04d}.edf"}
+    assert meta["filename"].endswith("/scan.xml") and meta["dirname"] == meta["filename"].removesuffix("/scan.xml")
+    raw.save_config(spark, {"close kernel x": 3, "names": ["a"]}, str(tmp_path / "config"))
+    assert raw.load_config(spark, str(tmp_path / "config")) == {"close kernel x": 3, "names": ["a"]}
+    (tmp_path / "list.txt").write_text("one\n\ntwo three\n")
+    assert [r.line for r in raw.text_list(spark, f"{tmp_path}/list.txt").collect()] == ["one", "", "two three"]
     raw.save_table(spark.createDataFrame([(1, 0.5)], "bin int, p double"), str(tmp_path / "prob"), method="otsu", material=0)
     raw.save_table(spark.createDataFrame([(2, 0.7)], "bin int, p double"), str(tmp_path / "prob"), method="otsu", material=1)
     assert raw.load_table(spark, str(tmp_path / "prob"), method="otsu", material=1).collect() == [(2, 0.7)]
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 200])
+def test_sinks(spark, tmp_path, monkeypatch, limit):
+    """Flat, npy, npz and EDF files; flat ones also in ranges."""
+    monkeypatch.setattr(raw, "RANGE", limit)
+    v = np.random.default_rng(15).integers(0, 4, SHAPE)
+    v[2] = 0  # a slice without voxels is written all the same
+    vol = table(spark, v > 0, v)
+    for name, write, read in (
+        ("raw", raw.write_raw_slabs, lambda p: raw.raw_slabs(spark, f"{p}/*.raw", SHAPE)),
+        ("npy", raw.write_npy_slabs, lambda p: raw.npy_slabs(spark, f"{p}/*.npy")),
+        ("npz", lambda *a: raw.write_npy_slabs(*a, packed=True), lambda p: raw.npy_slabs(spark, f"{p}/*.npz")),
+    ):
+        path = f"file://{tmp_path}/{name}"
+        assert write(vol, path, SHAPE, 4) == SHAPE[0] and (dense(read(path), SHAPE, "v") == v).all()
+    assert raw.write_edf_frames(vol, f"{tmp_path}/edf", SHAPE) == SHAPE[0]
+    assert (dense(raw.edf_frames(spark, f"{tmp_path}/edf/*.edf"), SHAPE, "v") == v).all()
+
+
 def test_fill_holes(spark):
     m = np.zeros((5, 5, 5), bool)
     m[1:4, 1:4, 1:4] = True

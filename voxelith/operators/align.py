@@ -100,3 +100,30 @@ def match_scores(top: DataFrame, bottom: DataFrame, top_height: int, overlap: in
 def best_shift(scores: DataFrame, first: int = 2) -> DataFrame:
     """The shift with the least score, the smallest of equals, and its index in a list that starts at ``first``."""
     return scores.agg(F.min(F.struct("score", "shift")).alias("m")).select(F.col("m.shift").alias("shift"), (F.col("m.shift") - first).alias("ref_index"))
+
+
+def match_volume(top: DataFrame, bottom: DataFrame, overlap: int, region: int, area: int) -> DataFrame:
+    """(shift): where the last ``overlap`` slices of ``top``, numbered from 0, lie in ``bottom``.
+
+    Of the first ``region`` starts in ``bottom`` the one with the least root of the summed squared differences by
+    ``area``, the first of equals, and ``overlap`` more.
+    """
+    s = F.explode(F.sequence(F.lit(0), F.lit(region - 1))).alias("start")
+    moved = top.select("*", s).select("start", (F.col("z") + F.col("start")).alias("z"), "y", "x", F.col("v").cast("double").alias("a"))
+    met = moved.join(bottom.select("z", "y", "x", F.col("v").cast("double").alias("b")), ZYX)
+    d = F.col("a") - F.col("b")
+    scores = met.groupBy("start").agg(F.sqrt(F.sum(d * d) / area).alias("score"))
+    return scores.agg(F.min(F.struct("score", "start")).alias("m")).select((F.col("m.start") + overlap).cast("int").alias("shift"))
+
+
+def common_size(shapes: list[Shape], multiple: int = 32) -> tuple[int, int]:
+    """Lines and columns that all scans have, as multiples of a number."""
+    return tuple(min(s[k] for s in shapes) // multiple * multiple for k in (1, 2))
+
+
+def crop_centre(vol: DataFrame, shape: Shape, size: tuple[int, int]) -> DataFrame:
+    """The middle ``size`` lines and columns of every slice, numbered from 0."""
+    for c, n, m in (("y", shape[1], size[0]), ("x", shape[2], size[1])):
+        low = n // 2 - m // 2
+        vol = vol.where(F.col(c).between(low, low + m - 1)).withColumn(c, (F.col(c) - low).cast("int"))
+    return vol

@@ -144,6 +144,29 @@ def sliding_sum(rows: DataFrame, width: int, value: str = "n") -> DataFrame:
     return rows.withColumn("total", F.sum(value).over(w)).withColumn("__k", F.count(value).over(w)).where(F.col("__k") == width).drop("__k")
 
 
+def sliding_sum_2d(rows: DataFrame, width: int, value: str = "n") -> DataFrame:
+    """Sum of a square of ``width`` rows and bins from each place on; only full squares of dense rows."""
+    along = sliding_sum(rows, width, value).select("row", "bin", "total")
+    w = Window.partitionBy("bin").orderBy("row").rowsBetween(0, width - 1)
+    whole = along.withColumn("__k", F.count("total").over(w)).withColumn("total", F.sum("total").over(w))
+    return whole.where(F.col("__k") == width).drop("__k")
+
+
+def profiles(points: DataFrame, ranges: dict[str, tuple[float, float]], bins: int = 200) -> DataFrame:
+    """(axis, bin, n): dense histograms of several coordinates over their ranges, in one pass."""
+    each = [F.struct(F.lit(k).alias("axis"), F.floor((F.col(k) - lo) * (bins / (hi - lo))).cast("int").alias("bin")) for k, (lo, hi) in ranges.items()]
+    counted = points.select(F.explode(F.array(*each)).alias("e")).select("e.*").where(F.col("bin").between(0, bins - 1)).groupBy("axis", "bin").agg(F.count("*").alias("n"))
+    spark = points.sparkSession
+    every = spark.createDataFrame([(k,) for k in ranges], "axis string").crossJoin(spark.range(bins).select(F.col("id").cast("int").alias("bin")))
+    return every.join(counted, ["axis", "bin"], "left").select("axis", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def profile_ranges(found: DataFrame) -> DataFrame:
+    """(axis, rise, fall): the bins where each profile rises and falls most, the first of equals."""
+    slopes = gradient(found.withColumnRenamed("axis", "row"))
+    return row_extremes(slopes, "slope").select(F.col("row").alias("axis"), F.col("argmax").alias("rise"), F.col("argmin").alias("fall"))
+
+
 def support(rows: DataFrame) -> DataFrame:
     """First and last bin of each row that isn't zero."""
     return rows.where("n > 0").groupBy("row").agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
@@ -161,6 +184,24 @@ def residuals(rows: DataFrame) -> DataFrame:
     return rows.agg((F.sum(r * r) / F.count("*")).alias("e1"), (F.sum(F.when(r < 0, r * r).otherwise(0.0)) / F.count("*")).alias("e2"))
 
 
+def energy(rows: DataFrame, centres: list[float], weight: float = 100.0) -> DataFrame:
+    """e1 and e2 of a model against counts, the closeness of its peaks' centres, and their total."""
+    close = sum(1 / (abs(b - a) + 0.001) for a, b in zip(centres, centres[1:], strict=False))
+    return residuals(rows).withColumn("closeness", F.lit(float(close))).withColumn("total", F.col("e1") + weight * F.col("closeness") + F.col("e2"))
+
+
+def segment_starts(labels: DataFrame) -> DataFrame:
+    """(label, n, start) of each label but 0: where its voxels begin in a list ordered by label. One row a label."""
+    sizes = labels.where("label <> 0").groupBy("label").agg(F.count("*").alias("n"))
+    w = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long"))
+
+
+def select_segments(labels: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The voxels of the labels that a table names."""
+    return labels.join(chosen.select("label").distinct(), "label", "left_semi")
+
+
 def bone_contact(vol: DataFrame, field: DataFrame, shape, coarse, limit: float, soft: Column) -> DataFrame:
     """Of each slice the share of voxels near the implant (0 < f < limit) that are not soft; 0 where there are none."""
     near = with_field(vol, field, shape, coarse).where((F.col("f") > 0) & (F.col("f") < limit))

@@ -132,6 +132,130 @@ def fit_rows(hist: DataFrame, count: int) -> DataFrame:
     return hist.groupBy("row").applyInPandas(run, "row int, material int, a double, b double, c double")
 
 
+def powers(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """a^2 exp(-b^2 |x - c|^(d^2)) of each row (a, b, c, d) of parameters, at x."""
+    a, b, c, d = (p[:, k, None] for k in range(4))
+    return a**2 * np.exp(-(b**2) * np.abs(x - c) ** (d**2))
+
+
+def fit_energy(x: np.ndarray, y: np.ndarray, p: np.ndarray, closeness: float = 100.0) -> float:
+    """Mean squared residual, that of overshoots once more, and what keeps centres apart."""
+    r = y - powers(x, p).sum(0)
+    close = (1 / (np.abs(np.diff(p[:, 2])) + 0.001)).sum()
+    return float((r * r).mean() + closeness * close + (np.where(r < 0, r, 0) ** 2).mean())
+
+
+def descend(energy, p: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """A least point of ``energy`` within bounds: each parameter in turn takes a better step either way, steps grow where they help and shrink where not."""
+    p = np.clip(p, low, high)
+    step = np.maximum((high - low) / 8, 1e-9)
+    best = energy(p)
+    for _ in range(rounds):
+        for at in np.ndindex(p.shape):
+            for sign in (1, -1):
+                q = p.copy()
+                q[at] = np.clip(p[at] + sign * step[at], low[at], high[at])
+                e = energy(q)
+                if e < best:
+                    p, best = q, e
+                    step[at] *= 1.6
+                    break
+            else:
+                step[at] *= 0.4
+        if (step < 1e-7 * np.maximum(1, high - low)).all():
+            break
+    return p
+
+
+def fit_powers(x, y, labels) -> np.ndarray:
+    """(materials, 4) parameters of a row of counts y at x whose bins carry materials (0: none); material k is row k - 1 of those there.
+
+    Starts are each material's greatest count, its place, and widths from half the distance to the next centre;
+    bounds as wide as the labelled bins and the model allow.
+    """
+    x, y, labels = np.asarray(x, float), np.asarray(y, float), np.asarray(labels)
+    there = [m for m in np.unique(labels) if m > 0 and y[labels == m].max(initial=0) > 0]
+    if not there:
+        return np.zeros((0, 5))
+    own = [np.flatnonzero(labels == m) for m in there]
+    tops = np.array([i[y[i].argmax()] for i in own])
+    a, c = np.sqrt(y[tops]), x[tops]
+    gaps = np.diff(c) / 2
+    width = np.concatenate([gaps[:1], gaps]) if len(gaps) else np.array([0.0])
+    b = np.sqrt(3 / (width**2 + (width == 0)))
+    d = np.full(len(there), np.sqrt(2.0))
+    low = np.stack([0.3 * a, np.minimum(0.5, np.maximum(0.1 * b, 1e-3)), np.array([x[i].min() for i in own]), np.full(len(there), np.sqrt(1.5))], 1)
+    high = np.stack([1.1 * a, np.maximum(np.minimum(2.0 * b, 0.7), low[:, 1]), np.array([x[i].max() for i in own]), np.full(len(there), np.sqrt(2.5))], 1)
+    p = descend(lambda q: fit_energy(x, y, q), np.stack([a, b, c, d], 1), low, high)
+    return np.column_stack([there, p])
+
+
+def fit_power_rows(hist: DataFrame) -> DataFrame:
+    """Peaks (row, material, a, b, c, d, energy) of each row of a dense histogram (row, bin, n, material); a row is one fit."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        p = fit_powers(pdf["bin"], pdf["n"], pdf["material"])
+        e = fit_energy(pdf["bin"].to_numpy(float), pdf["n"].to_numpy(float), p[:, 1:]) if len(p) else 0.0
+        return pd.DataFrame({"row": pdf["row"].iloc[0], "material": p[:, 0].astype(np.int32), **{k: p[:, i] for i, k in enumerate("abcd", 1)}, "energy": e})
+
+    return hist.groupBy("row").applyInPandas(run, "row int, material int, a double, b double, c double, d double, energy double")
+
+
+def smooth_parameters(peaks: DataFrame, rows: int, borders: int) -> DataFrame:
+    """Each material's parameters as smooth curves over all ``rows`` rows: centres go on as cubics, the others as constants beyond the rows fitted."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, at = pdf.sort_values("row"), np.arange(rows)
+        x = pdf["row"].to_numpy(float)
+        n = max(2, min(borders, len(x) // 2))
+        curve = lambda k: eval_piecewise(at, fit_piecewise(x, pdf[k], np.linspace(x.min(), x.max() + 1, n)), "cubic" if k == "c" else "constant")
+        return pd.DataFrame({"material": pdf["material"].iloc[0], "row": at.astype(np.int32), **{k: curve(k) for k in "abcd"}, "good": (at >= x.min()) & (at <= x.max())})
+
+    return peaks.groupBy("material").applyInPandas(run, "material int, row int, a double, b double, c double, d double, good boolean")
+
+
+def power_probabilities(hist: DataFrame, curves: DataFrame, rows: int, bins: int, sigma: float = 10.0, tail: float = 0.001) -> DataFrame:
+    """(material, row, bin, p): each of two materials' model over the greater of counts and the whole model, then blurred.
+
+    Long tails are cut: what is under ``tail`` of a row's greatest value, rows beyond those fitted, and bins on the
+    far side of the other material's centre.
+    """
+    other = curves.select((F.lit(3) - F.col("material")).alias("material"), "row", F.col("c").alias("far"))
+    grid = curves.join(other, ["material", "row"], "left").select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    m = grid.withColumn("m", power(F.col("bin").cast("double"), F.col("a"), F.col("b"), F.col("c"), F.col("d")))
+    top = F.max("m").over(Window.partitionBy("material", "row"))
+    beyond = F.when(F.col("material") == 1, F.col("bin") >= F.col("far")).otherwise(F.col("bin") <= F.col("far"))
+    m = m.withColumn("m", F.when((F.col("m") < tail * top) | ~F.col("good") | F.coalesce(beyond, F.lit(False)), 0.0).otherwise(F.col("m")))
+    m = m.withColumn("total", F.sum("m").over(Window.partitionBy("row", "bin")))
+    joined = m.join(hist.select("row", "bin", "n"), ["row", "bin"], "left")
+    raw = joined.select("material", "row", "bin", (F.col("m") / F.greatest(dbl(F.coalesce("n", F.lit(0))), F.col("total"), F.lit(1e-12))).alias("n"))
+    parts = [smooth_plane(raw.where(F.col("material") == k), rows, bins, sigma).select(F.lit(k).alias("material"), "row", "bin", F.col("s").alias("p")) for k in (1, 2)]
+    return parts[0].unionByName(parts[1])
+
+
+def fit_globally(hist: np.ndarray, start: np.ndarray, borders: np.ndarray, power_: float = 1.6, rounds: int = 12) -> tuple[np.ndarray, float]:
+    """Curves of all rows' peaks at once: values (materials, 3, borders) of a, b and c at borders, joined by lines, that lessen the mean squared residual of the whole image; and that residual.
+
+    ``hist`` is an image of rows and bins. A histogram is of a bounded size, so this runs on the driver.
+    """
+    rows, bins = hist.shape
+    at, v = np.arange(rows), np.arange(bins)
+
+    def model(g: np.ndarray) -> np.ndarray:
+        total = np.zeros(hist.shape)
+        for a, b, c in g:
+            a, b, c = (np.interp(at, borders, k)[:, None] for k in (a, b, c))
+            total += a**2 * np.exp(-(b**2) * np.abs(v - c) ** power_)
+        return total
+
+    energy = lambda g: float(((hist - model(g)) ** 2).mean())
+    low = np.stack([np.zeros_like(start[:, 0]), np.full_like(start[:, 1], 1e-3), np.zeros_like(start[:, 2])], 1)
+    high = np.stack([2 * start[:, 0] + 1, np.full_like(start[:, 1], 3.0), np.full_like(start[:, 2], bins - 1.0)], 1)
+    g = descend(energy, start, low, high, rounds)
+    return g, energy(g)
+
+
 def fitted_probabilities(hist: DataFrame, peaks: DataFrame, rows: int, bins: int, sigma: float = 10.0) -> DataFrame:
     """(material, row, bin, p): each material's model over the greater of counts and the whole model, then blurred."""
     grid = peaks.select("row", "material", "a", "b", "c", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

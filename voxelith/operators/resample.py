@@ -74,24 +74,32 @@ def sample_plane(vol: DataFrame, shape: Shape, centre, u, v, bounds: tuple[float
     return grid.join(found, ["i", "j"], "left").select("i", "j", F.round(F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
-def bilinear(points: DataFrame, image: DataFrame, key: list[str], ref_compat: bool = False) -> DataFrame:
-    """Value of an image (y, x, v) at points (py, px) with voxel centres at whole numbers; ``ref_compat`` swaps the two right-hand taps."""
-    y0, x0 = F.floor("py").cast("int"), F.floor("px").cast("int")
-    fy, fx = F.col("py") - F.floor("py"), F.col("px") - F.floor("px")
+def bilinear(points: DataFrame, image: DataFrame, key: list[str], ref_compat: bool = False, half: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Value of an image (y, x, v) at points (py, px) with voxel centres at whole numbers, or with ``half`` half a voxel on.
+
+    ``ref_compat`` swaps the two right-hand taps; ``by`` names further columns that points and images share (a slice).
+    """
+    off = 0.5 if half else 0.0
+    py, px = F.col("py") - off, F.col("px") - off
+    y0, x0 = F.floor(py).cast("int"), F.floor(px).cast("int")
+    fy, fx = py - F.floor(py), px - F.floor(px)
     right = [(1, 0), (0, 1)] if ref_compat else [(0, 1), (1, 0)]
     taps = [(0, (1 - fy) * (1 - fx), 0), (1, fy * (1 - fx), 0), (right[0][0], (1 - fy) * fx, 1), (right[0][1], fy * fx, 1)]
     four = F.array(*[F.struct((y0 + dy).alias("y"), (x0 + dx).alias("x"), w.alias("w")) for dy, w, dx in taps])
     rows = points.withColumn("t", F.explode(four)).select("*", "t.*").drop("t")
-    hit = rows.join(image.select("y", "x", dbl(F.col("v")).alias("__v")), ["y", "x"], "left")
+    hit = rows.join(image.select(*by, "y", "x", dbl(F.col("v")).alias("__v")), [*by, "y", "x"], "left")
     return hit.groupBy(*key).agg(F.sum(F.col("w") * F.coalesce("__v", F.lit(0.0))).alias("value"))
 
 
-def cart_to_polar(image: DataFrame, centre: tuple[float, float], radii: int, angles: int) -> DataFrame:
-    """(r, theta, value) of an image on a polar grid."""
+def cart_to_polar(image: DataFrame, centre: tuple[float, float], radii: int, angles: int, inner: float = 0.0, outer: float | None = None, half: bool = False, ref_compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """(r, theta, value) of an image on a polar grid from the radius ``inner`` up to ``outer``, one voxel a step by default; with ``by`` of each of several images."""
     grid = image.sparkSession.range(radii * angles).select(F.expr(f"cast(id div {angles} as int)").alias("r"), F.expr(f"cast(id % {angles} as int)").alias("theta"))
-    t = F.col("theta") * (2.0 * 3.141592653589793 / angles)
-    points = grid.select("*", (F.lit(centre[0]) + F.col("r") * F.sin(t)).alias("py"), (F.lit(centre[1]) + F.col("r") * F.cos(t)).alias("px"))
-    return bilinear(points, image, ["r", "theta"])
+    if by:
+        grid = image.select(*by).distinct().crossJoin(F.broadcast(grid))  # radii x angles rows
+    step = 1.0 if outer is None else (outer - inner) / radii
+    t, r = F.col("theta") * (2.0 * 3.141592653589793 / angles), F.col("r") * step + inner
+    points = grid.select("*", (F.lit(centre[0]) + r * F.sin(t)).alias("py"), (F.lit(centre[1]) + r * F.cos(t)).alias("px"))
+    return bilinear(points, image, [*by, "r", "theta"], ref_compat, half, by)
 
 
 def polar_to_cart(polar: DataFrame, shape: tuple[int, int], centre: tuple[float, float], radii: int, angles: int) -> DataFrame:
@@ -105,6 +113,14 @@ def polar_to_cart(polar: DataFrame, shape: tuple[int, int], centre: tuple[float,
     return bilinear(points.where(F.col("py") < radii - 1), wrapped, ["iy", "ix"]).select(F.col("iy").alias("y"), F.col("ix").alias("x"), "value")
 
 
+def field_at_centres(vol: DataFrame, field: DataFrame, shape: Shape, coarse: Shape) -> DataFrame:
+    """(z, y, x, v, f): a coarser field sampled trilinearly at the centre of each voxel."""
+    at = [((F.col(c) + 0.5) * (m / n)).alias(f"p{c}") for c, n, m in zip(ZYX, shape, coarse, strict=True)]
+    points = vol.select(*[F.col(c).alias(f"i{c}") for c in ZYX], F.col("v").alias("iv"), *at)
+    found = trilinear(points, field.withColumnRenamed("f", "v"), coarse, ["iz", "iy", "ix", "iv"])
+    return found.select(*[F.col(f"i{c}").alias(c) for c in ZYX], F.col("iv").alias("v"), F.col("value").alias("f"))
+
+
 def sampled_field_histogram(vol: DataFrame, field: DataFrame, shape: Shape, coarse: Shape, vrange, frange, bins: tuple[int, int]) -> DataFrame:
     """Counts by bin of the field, sampled trilinearly at voxel centres, and of the value."""
     from voxelith.functions.scalar import value_bin

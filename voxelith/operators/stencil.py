@@ -210,6 +210,51 @@ def diffuse(mask: DataFrame, sigma: float, repetitions: int, shape: Shape, radiu
     return field.select(*ZYX, F.floor(F.col("f") * 65535.0 + 1e-7).cast("int").alias("f"))
 
 
+def diffuse_blocks(mask: DataFrame, sigma: float, repetitions: int, shape: Shape, radius: int | None = None, block: int = 64) -> DataFrame:
+    """The same as ``diffuse`` in blocks with a halo: a step is one shuffle, of every voxel to the blocks it reaches.
+
+    A group is a block of ``block`` voxels a side and the kernel's radius around it. Every step's field is stored.
+    """
+    w = kernel(sigma, radius)
+    r = len(w) // 2
+    span = block + 2 * r
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = np.array([pdf[f"__{c}"].iloc[0] for c in ZYX], np.int64) * block
+        at = tuple(pdf[c].to_numpy() - low[i] + r for i, c in enumerate(ZYX))
+        f = pdf["f"].to_numpy()
+        given = ~np.isnan(f)
+        held, near = np.zeros((span,) * 3), np.zeros((span,) * 3, bool)
+        inner = tuple(a[given] for a in at)
+        held[inner], near[inner] = f[given], True
+        for axis in range(3):
+            n = held.shape[axis] - 2 * r
+            cut = lambda a, k, axis=axis, n=n: np.take(a, np.arange(k, k + n), axis)
+            held = sum(x * cut(held, k) for k, x in enumerate(w))
+            near = np.logical_or.reduce([cut(near, k) for k in range(2 * r + 1)])
+        lit = tuple(a[~given] - r for a in at)
+        own = np.all([(a >= 0) & (a < block) for a in lit], axis=0) if len(lit[0]) else np.zeros(0, bool)
+        held[tuple(a[own] for a in lit)] = 1.0
+        ends = [min(block, n - b) for n, b in zip(shape, low.tolist(), strict=True)]
+        near[ends[0] :], near[:, ends[1] :], near[:, :, ends[2] :] = False, False, False
+        p = np.nonzero(near)
+        return pd.DataFrame({**{c: (p[i] + low[i]).astype(np.int32) for i, c in enumerate(ZYX)}, "f": held[p]})
+
+    from voxelith.sources.scratch import kept
+
+    inside = F.lit(True)
+    for c, n in zip(ZYX, shape, strict=True):
+        inside = inside & F.col(c).between(0, n - 1)
+    source = mask.select(*ZYX).where(inside).distinct()
+    field = source.withColumn("f", F.lit(1.0))
+    for _ in range(repetitions):
+        rows = field.union(source.withColumn("f", F.lit(None).cast("double")))
+        for c, n in zip(ZYX, shape, strict=True):
+            rows = rows.withColumn(f"__{c}", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(c) - r) / block), F.floor(F.least(F.lit(n - 1), F.col(c) + r) / block))))
+        field = kept(rows.groupBy("__z", "__y", "__x").applyInPandas(run, "z int, y int, x int, f double"), "diffusion")
+    return field.select(*ZYX, F.floor(F.col("f") * 65535.0 + 1e-7).cast("int").alias("f"))
+
+
 def local_threshold(plane: DataFrame, half: int, k: float = 0.2, r: float = 32768.0) -> DataFrame:
     """Adaptive threshold of each slice: mean (1 + k (sd / r - 1)) over a square of 2 half + 1, from sums along y and x."""
     sums = plane.select(*ZYX, F.col("v").cast("double").alias("s"), (F.col("v").cast("double") * F.col("v")).alias("q"), F.lit(1).alias("n"))

@@ -62,6 +62,47 @@ def packed_or(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("z", "y", "xw").agg(F.bit_or("w").alias("w"))
 
 
+def packed_dilate(words: DataFrame, radius: int, shape: tuple[int, int, int]) -> DataFrame:
+    """Words of all voxels within ``radius``, at most 31, of the mask's: whole words are smeared by shifts along x.
+
+    A word reaches its own place and the two beside it; each run (dz, dy) of the sphere shifts by its half-width.
+    """
+    from voxelith.operators.stencil import sphere_runs
+
+    if radius > 31:
+        raise ValueError("words reach 31 voxels at most")
+    nz, ny, nx = shape
+    last, full = (nx - 1) // 32, 0xFFFFFFFF
+    runs = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"), F.lit(k).alias("k")) for dz, dy, k in sphere_runs(radius)])
+    moved = words.select("*", F.explode(runs).alias("o")).select((F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), "xw", "w", F.col("o.k").alias("k"))
+    moved = moved.where(F.col("z").between(0, nz - 1) & F.col("y").between(0, ny - 1))
+    # what stays in the word, and what runs over into the words after and before it
+    steps = "transform(sequence(0, k), i -> {})"
+    own = F.expr(f"aggregate({steps.format('(shiftrightunsigned(w, i) | shiftleft(w, i)) & 4294967295L')}, 0L, (a, b) -> a | b)")
+    after = F.expr(f"aggregate({steps.format('shiftleft(w, 32 - i) & 4294967295L')}, 0L, (a, b) -> a | b)")
+    before = F.expr(f"aggregate({steps.format('shiftrightunsigned(w, 32 - i)')}, 0L, (a, b) -> a | b)")
+    parts = F.array(*[F.struct((F.col("xw") + d).cast("int").alias("xw"), c.alias("w")) for d, c in ((0, own), (1, after), (-1, before))])
+    spread = moved.select("z", "y", F.explode(parts).alias("p")).select("z", "y", "p.xw", "p.w").where(f"w <> 0 and xw between 0 and {last}")
+    edge = full ^ ((1 << (32 * (last + 1) - nx)) - 1)  # bits of the last word that lie in the volume
+    met = spread.groupBy("z", "y", "xw").agg(F.bit_or("w").alias("w"))
+    return met.select("z", "y", "xw", F.when(F.col("xw") == last, F.col("w").bitwiseAND(F.lit(edge))).otherwise(F.col("w")).alias("w")).where("w <> 0")
+
+
+def packed_complement(words: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Words of the voxels that the mask leaves out: all words of the volume are made, a 32nd of its voxels."""
+    nz, ny, nx = shape
+    n = (nx + 31) // 32
+    edge = 0xFFFFFFFF ^ ((1 << (32 * n - nx)) - 1)
+    every = words.sparkSession.range(nz * ny * n).select(F.expr(f"cast(id div {ny * n} as int)").alias("z"), F.expr(f"cast(id div {n} % {ny} as int)").alias("y"), F.expr(f"cast(id % {n} as int)").alias("xw"))
+    full = every.withColumn("w", F.when(F.col("xw") == n - 1, F.lit(edge).cast("long")).otherwise(F.lit(0xFFFFFFFF).cast("long")))
+    return packed_and_not(full, words)
+
+
+def packed_erode(words: DataFrame, radius: int, shape: tuple[int, int, int]) -> DataFrame:
+    """Words of the mask's voxels whose neighbours within ``radius`` are all in it; what lies outside the volume counts as in."""
+    return packed_and_not(words, packed_dilate(packed_complement(words, shape), radius, shape))
+
+
 def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*ZYX), ZYX, "left_semi")
 

@@ -25,6 +25,11 @@ def level_index(lo: float, hi: float, target: float, levels: int = 65536) -> int
     return max(0, min(levels - 1, round((target - lo) / (hi - lo) * (levels - 1))))
 
 
+def segment_implant_at(vol: DataFrame, lo: float, hi: float, target: float, slab: int = 16) -> DataFrame:
+    """The largest component above the 16-bit level whose value, of a scan with values lo to hi, is nearest to ``target``."""
+    return segment_implant(vol, level_index(lo, hi, target), slab)
+
+
 def frame_of_reference(mask: DataFrame, slabs: int = 5) -> dict:
     """Centre, axes and the implant's own frame of a mask, from one pass of moments and one of slab circles."""
     m = mask.withColumn("m", F.lit(1))
