@@ -190,7 +190,7 @@ def m15_skeletons(spark, d):
 
 @query()
 def m15_joints(spark, d):
-    return planes.joints(_plane(spark, d), "z", (20, 64), 3)
+    return planes.joints(mask(spark, d, 45000), "z", (20, 64), 7)
 
 
 def _ridged(spark, d):
