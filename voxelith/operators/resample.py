@@ -62,7 +62,10 @@ def trilinear(points: DataFrame, vol: DataFrame, shape: Shape, key: list[str]) -
 
 
 def sample_plane(vol: DataFrame, shape: Shape, centre, u, v, bounds: tuple[float, float, float, float], size: tuple[int, int], voxel: float = 1.0) -> DataFrame:
-    """(i, j, value): the plane centre + u U + v V (x, y, z order, in units of ``voxel``), rounded; 0 outside."""
+    """(i, j, value): the plane centre + u U + v V (x, y, z order, in units of ``voxel``), rounded; 0 outside.
+
+    Values are rounded to six digits first, so that the order of a sum decides no tie.
+    """
     du, dv = (bounds[1] - bounds[0]) / size[0], (bounds[3] - bounds[2]) / size[1]
     grid = vol.sparkSession.range(size[0] * size[1]).select(F.expr(f"cast(id div {size[1]} as int)").alias("i"), F.expr(f"cast(id % {size[1]} as int)").alias("j"))
     a, b = bounds[0] + F.col("i") * du, bounds[2] + F.col("j") * dv
@@ -71,7 +74,7 @@ def sample_plane(vol: DataFrame, shape: Shape, centre, u, v, bounds: tuple[float
     for c, n in zip(ZYX, shape, strict=True):
         inside = inside & (F.col(f"p{c}") >= 0.5) & (F.col(f"p{c}") <= n - 0.5)
     found = trilinear(points.where(inside), vol, shape, ["i", "j"])
-    return grid.join(found, ["i", "j"], "left").select("i", "j", F.round(F.coalesce("value", F.lit(0.0))).alias("value"))
+    return grid.join(found, ["i", "j"], "left").select("i", "j", F.round(F.round(F.coalesce("value", F.lit(0.0)), 6)).alias("value"))
 
 
 def bilinear(points: DataFrame, image: DataFrame, key: list[str], ref_compat: bool = False, half: bool = False, by: tuple[str, ...] = ()) -> DataFrame:

@@ -113,7 +113,7 @@ add("r2_sample_plane", "vox ext", f"""WITH g AS (SELECT CAST(i.id AS INT) i, CAS
  CAST(nz AS DOUBLE) / 2 + (-8 + j.id * CAST(0.5 AS DOUBLE)) * CAST(0.8 AS DOUBLE) pz FROM ext, range(60) i(id), range(32) j(id)),
 q AS (SELECT * FROM g WHERE px BETWEEN CAST(0.5 AS DOUBLE) AND CAST(63.5 AS DOUBLE) AND py BETWEEN CAST(0.5 AS DOUBLE) AND CAST(19.5 AS DOUBLE) AND pz BETWEEN CAST(0.5 AS DOUBLE) AND {NZ} - CAST(0.5 AS DOUBLE)),
 {corners('q', {'z': NZ, 'y': '20', 'x': '64'})}, {sampled('vox', 'v', {'z': NZ, 'y': '20', 'x': '64'})}
-SELECT i, j, round(coalesce(value, 0)) AS value FROM g LEFT JOIN t USING (id)""")
+SELECT i, j, round(round(coalesce(value, 0), 6)) AS value FROM g LEFT JOIN t USING (id)""")
 
 HALF = {"z": "(SELECT nz // 2 FROM dim)", "y": "10", "x": "32"}
 ON_FIELD = f"""q AS (SELECT CAST(z AS BIGINT) * 1280 + y * 64 + x id, z, y, x, v, (z + CAST(0.5 AS DOUBLE)) * (CAST(nz // 2 AS DOUBLE) / nz) pz, (y + CAST(0.5 AS DOUBLE)) * CAST(0.5 AS DOUBLE) py, (x + CAST(0.5 AS DOUBLE)) * CAST(0.5 AS DOUBLE) px FROM vox, dim),
