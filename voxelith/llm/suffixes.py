@@ -220,7 +220,7 @@ def text_key(text: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
-def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = 1000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, *, text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = 400) -> tuple[DataFrame, DataFrame]:
     """(uid, spans) and (uid): of each text with repeated strings its key and an array of (first, n), its repeated starts; and the keys of texts with very many copies, which are repeated whole. Both stored."""
     spark = docs.sparkSession
     keyed = docs.select(text_key(text).alias("uid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -383,7 +383,7 @@ def _kept(data: bytes, runs: list[tuple[int, int]]) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(data)], strict=True)]
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), digest: bool = True, group: int = 1000) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), digest: bool = True, group: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 (or, without ``digest``, what is left as the string ``kept``).
 
     In ``kept`` a character that was removed in part is left out.
