@@ -9,6 +9,7 @@ from voxelith.llm.texts import documents, held_out, small_batches
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the rows that are not held out. No documents, no rows; no labels, all `und`."""
     from voxelith.llm.language import identify_languages, train_language_model
 
     docs = documents(spark, sf_dir)
@@ -17,12 +18,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of every document under links at three bits or fewer."""
     from voxelith.llm.simhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled rows that are not held out. Without both classes all scores are 0."""
     from voxelith.llm.toxicity import score_toxicity, train_toxicity_model
 
     docs = documents(spark, sf_dir)
@@ -32,18 +35,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
     from voxelith.llm.mixing import mix
 
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "whole", "part")
 
 
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text stored as a TIFF and read back."""
     from voxelith.llm.tiff import media_digests
 
     return media_digests(documents(spark, sf_dir))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 1024 ids."""
     import public_tokenizers
 
     from voxelith.llm.packing import pack, pieces
@@ -54,12 +60,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without bytes covered by repeated strings of 200."""
     from voxelith.llm.suffixes import remove_repeats
 
     return remove_repeats(documents(spark, sf_dir))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdict of every document, with cutoffs by language from all labels."""
     from voxelith.llm.quality import quality_rules
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -67,12 +75,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates of every document."""
     from voxelith.llm.licenses import scan_licenses
 
     return scan_licenses(documents(spark, sf_dir))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document under the law `bytes`."""
     from voxelith.llm.sharding import assign_shards
 
     shards = assign_shards(documents(spark, sf_dir))

@@ -6,7 +6,7 @@ compression, PackBits, LZW or deflate, the horizontal predictor, 8 or 16 bits a
 
 Defined cases: a null file has no pages; a file cut short, or with a loop in its directories or a feature not named
 here, raises ValueError in ``pages`` and gives one row with ``error`` in ``tiff_pages``. Repeated rows are read
-alike; other columns are ignored; an empty table gives an empty one.
+alike; a very long payload takes more pages; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
