@@ -49,60 +49,96 @@ def crowded(text: str) -> bool:
     return bool(text) and (beside or text[0] in " \n" or text[-1] in " \n" or OTHER.search(text) is not None)
 
 
+class Numbers(dict):
+    """Numbers of words, given in the order in which they are first looked up; ``new`` holds those since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``array`` with ``values`` from ``at`` on, twice as long as need be where it is too short."""
+    if at + len(values) > len(array):
+        array = np.concatenate([array[:at], np.zeros(at + 2 * len(values), array.dtype)])
+    array[at : at + len(values)] = values
+    return array
+
+
 class PieceIds:
     """Ids of texts as little-endian 32-bit bytes, by words.
 
     The pre-tokenizer never joins characters across a single space or line feed with other characters on both
-    sides, so a text's ids are those of its words, each with the space before it. A word is tokenized once while
-    it stays in the tables, which are emptied when they hold ``limit`` bytes; new words are tokenized many at a
-    time. Texts with other white space are cut only where a single space stands between other characters.
+    sides, so a text's ids are those of its words, each with the space or line feed before it. Words are numbered; a
+    new one is tokenized once, many at a time, and its ids lie in one array, from which those of whole slices are
+    gathered. The tables are emptied when they hold ``limit`` bytes. Texts with other white space are cut only where
+    a single space stands between other characters.
     """
 
-    def __init__(self, tokenizer, limit: int = 50_000_000, slice_chars: int = 1 << 23):
-        self.tokenizer, self.limit, self.slice_chars, self.held = tokenizer, limit, slice_chars, 0
-        self.tables: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
-        self.feed = self.encode("\n")
+    def __init__(self, tokenizer, limit: int = 50_000_000, slice_chars: int = 1 << 20):
+        self.tokenizer, self.limit, self.slice_chars = tokenizer, limit, slice_chars
+        self.feed = len(ids_of(tokenizer, "\n")) // 4
         # of each id, whether its token begins with the joint that stands before words in a batch
         size = tokenizer.get_vocab_size()
         self.joints = {}
         for joint, mark in ((" ", "\u0120"), ("\n", "\u010a")):
             self.joints[joint] = np.fromiter(((tokenizer.id_to_token(i) or "").startswith(mark) for i in range(size)), bool, size)
-
-    def encode(self, text: str) -> bytes:
-        return ids_of(self.tokenizer, text)
-
-    def learn(self, lead: str, words: list[str], group: int = 512) -> None:
-        """Tokenize new words; with a lead they keep the space, without one a line feed parts them."""
-        table, joint, skip = self.tables[lead], lead or "\n", 0 if lead else 4
-        groups = [words[at : at + group] for at in range(0, len(words), group)]
-        for part, found in zip(groups, self.tokenizer.encode_batch_fast([joint + joint.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            raw, starts = ids.tobytes(), (4 * np.flatnonzero(self.joints[joint][ids])).tolist()
-            table.update(zip(part, [raw[a + skip : b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)], strict=True))
-            self.held += sum(map(len, part)) + len(raw) + 160 * len(part)
+        self.empty()
+
+    def empty(self) -> None:
+        self.numbers, self.held, self.used = Numbers(), 0, 0
+        self.ids, self.starts, self.counts = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def learn(self, group: int = 512) -> None:
+        """Tokenize the new words: those that begin with a line feed, and those that follow a space."""
+        new, self.numbers.new = self.numbers.new, []
+        first = np.fromiter((w[0] == "\n" for w in new), bool, len(new))
+        starts, counts, parts, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [], self.used
+        for joint, chosen in (("\n", np.flatnonzero(first)), (" ", np.flatnonzero(~first))):
+            groups = [chosen[k : k + group] for k in range(0, len(chosen), group)]
+            # words after a line feed bring their own
+            texts = ["".join([new[i] for i in g]) if joint == "\n" else " " + " ".join([new[i] for i in g]) for g in groups]
+            for g, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                begin = np.flatnonzero(self.joints[joint][ids])
+                starts[g], counts[g] = begin + at, np.diff(begin, append=len(ids))
+                parts.append(ids)
+                at += len(ids)
+        known = len(self.numbers) - len(new)
+        self.ids = _put(self.ids, self.used, np.concatenate(parts))
+        self.starts, self.counts = _put(self.starts, known, starts), _put(self.counts, known, counts)
+        self.held += sum(map(len, new)) + 180 * len(new) + 4 * (at - self.used)
+        self.used = at
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text."""
         out: list[bytes] = []
         for a, b in slices(map(len, texts), self.slice_chars):
-            lines = [[x.split(" ") for x in t.split("\n")] for t in texts[a:b]]
-            clean = [not crowded(t) for t in texts[a:b]]
-            lines = [parts if ok else [] for parts, ok in zip(lines, clean, strict=True)]
             if self.held > self.limit:
-                self.tables, self.held = {"": {"": b""}, " ": {}}, 0
-            head, body = self.tables[""], self.tables[" "]
-            first, rest = set(), set()
-            for t in lines:
-                for x in t:
-                    first.add(x[0])
-                    rest.update(x[1:])
-            self.learn("", [w for w in first if w not in head])
-            self.learn(" ", [w for w in rest if w not in body])
-            for t, parts, ok in zip(texts[a:b], lines, clean, strict=True):
+                self.empty()
+            words, ends, clean = [], [0], [bool(t) and not crowded(t) for t in texts[a:b]]
+            for t, ok in zip(texts[a:b], clean, strict=True):
+                if ok:
+                    words += ("\n" + t).replace("\n", " \n").split(" ")[1:]
+                    ends.append(len(words))
+            numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+            if self.numbers.new:
+                self.learn()
+            counts = self.counts[numbers]
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            found = self.ids[np.repeat(self.starts[numbers] - upto[:-1], counts) + np.arange(upto[-1])]
+            bounds = iter(zip(upto[ends[:-1]].tolist(), upto[ends[1:]].tolist(), strict=True))
+            for t, ok in zip(texts[a:b], clean, strict=True):
                 if ok:
-                    out.append(self.feed.join([b"".join([head[x[0]], *map(body.__getitem__, x[1:])]) for x in parts]))
+                    lo, hi = next(bounds)
+                    out.append(found[lo + self.feed : hi].tobytes())  # the first word has no line feed before it
                 else:
-                    out.append(b"".join(map(self.encode, SPLIT.split(t))))
+                    out.append(b"".join(ids_of(self.tokenizer, x) for x in SPLIT.split(t)) if t else b"")
         return out
 
 
