@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of texts linked by 0.8 or more of their five-word shingles stays.
 
-    It is that with the smallest id (ids before null), of equal ids that with the smallest digest; of rows equal in
+    Texts in one SimHash class, or with a MinHash key in common, are compared; see ``copies``. The row is that with the smallest id (ids before null), of equal ids that with the smallest digest; of rows equal in
     id and text one stays, that with the smallest other columns.
     """
     small_batches(spark)

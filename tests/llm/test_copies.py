@@ -60,3 +60,31 @@ def test_rows_without_ids_are_copies_too(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t, g, s, len(t or "")) for d, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
     assert len(got) == 3 and (7, near) in got and (None, other) in got
+
+
+def test_links_come_from_fingerprints(spark, monkeypatch):
+    import corpus_pipeline
+    from voxelith.llm import simhash
+
+    monkeypatch.setattr(copies, "band_keys", lambda found: [int(np.bitwise_xor.reduce(found) >> np.uint64(1))] if len(found) else [])  # no two texts share one
+    words = [f"word{i}" for i in range(900)]
+    texts = [" ".join(words), edited(words, {300}), " ".join(f"other{i}" for i in range(900)), None, ""]
+    a, b = (simhash.fingerprint(t) for t in texts[:2])
+    assert 0 < (a ^ b).bit_count() <= 3
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("small,block", [(32, 2048), (2, 7)])
+def test_fingerprint_classes_are_checked_by_similarity(spark, monkeypatch, small, block):
+    monkeypatch.setattr(copies, "band_keys", lambda found: [])
+    monkeypatch.setattr(copies, "fingerprint", lambda text: 5)  # one class of all texts with words
+    texts = [*corpus(3, 8), None, "  ", "one", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.root for r in copies.near_copies(docs, small=small, block=block).collect()}
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (i, j) == (24, 25) or (j < 24 and jaccard(texts[i], texts[j]) >= 0.8):
+            root = [root[i] if r == root[j] else r for r in root]
+    want = {frozenset(i for i in found if root[i] == r) for r in root}
+    assert {frozenset(i for i in found if found[i] == r) for r in found.values()} == want

@@ -1,18 +1,22 @@
 """Near copies of texts: classes linked by a Jaccard similarity of their word shingles of 0.8 or more.
 
-Candidates come from MinHash: ``BANDS`` keys of ``ROWS`` minima each, so that of pairs with similarity 0.8 one in
-5000 shares no key (fewer above). Every link is verified on the exact shingle sets, texts with equal words are
-collapsed before, and the work in a bucket grows with its rows, not with its pairs: first each member is compared
-with the bucket's smallest one. Buckets whose members are then all in one component are done. In the others only
-pairs of different components are left: those of small buckets are compared as rows, each pair once, those of
-larger ones breadth first in tasks, in blocks if one task should not hold the bucket.
+Texts are classed by ``simhash`` first: fingerprints, Golay-code keys and links at three differing bits. A class is
+a bucket, in which all pairs that are similar are linked. Edits that are scattered change more bits (about ten at
+similarity 0.8), so there are buckets of MinHash keys beside: ``BANDS`` keys of ``ROWS`` minima each; of pairs with
+similarity 0.8 that are not in one class, one in 5000 shares no key (fewer above).
+
+Every link is verified on the exact shingle sets, texts with equal words are collapsed before, and the work in a
+bucket grows with its rows, not with its pairs: first each member is compared with the bucket's smallest one.
+Buckets whose members are then all in one component are done. In the others only pairs of different components are
+left: those of small buckets are compared as rows, each pair once, those of larger ones breadth first in tasks, in
+blocks if one task should not hold the bucket.
 
 Keys that hold many rows (copies of a text, a bucket of very many texts) are met as ``joins`` says.
 
-Defined cases: words are split and folded as in ``simhash``. Texts with equal words are one class, as are all null
-texts and texts without words. Fewer words than a shingle form one shingle. Ids may be null or repeat: rows are
-told apart by id and text, and rows equal in both are one. Texts are read whole; a very long one adds minima in
-blocks of shingles. Other columns are ignored; an empty table gives an empty one.
+Defined cases: words are split and folded as in ``simhash``, so texts with equal words share a fingerprint. They are
+one class, as are all null texts and texts without words. Fewer words than a shingle form one shingle. Ids may be
+null or repeat: rows are told apart by id and text, and rows equal in both are one. Texts are read whole; a very
+long one adds minima in blocks of shingles. Other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from voxelith.llm.graph import components
 from voxelith.llm.joins import meet, shared
-from voxelith.llm.simhash import LOWER
-from voxelith.llm.storage import stored
+from voxelith.llm.simhash import LOWER, fingerprint, fingerprint_classes
+from voxelith.llm.storage import drop_since, mark, stored
 from voxelith.llm.texts import release
 
 BANDS, ROWS = 28, 6
@@ -106,11 +110,13 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     source = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     kind = dict(source.dtypes)["doc_id"]
 
-    def mark(batches):
+    def digest(batches):
         release()
         for pdf in batches:
-            words = [folded(t) for t in pdf.pop("text")]
-            yield pdf.assign(node=[xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words], bands=[band_keys(shingles(w, width)) for w in words])
+            texts = pdf.pop("text")
+            words, fps = [folded(t) for t in texts], np.array([fingerprint(t) for t in texts], np.uint64)
+            ids, bands = [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words], [band_keys(shingles(w, width)) for w in words]
+            yield pdf.assign(node=ids, bands=bands, fp=fps.view(np.int64), worded=[bool(w) for w in words])
 
     def verify(batches):
         release()
@@ -126,9 +132,13 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 pairs = bridges([x["root"] for x in m], [shingles(folded(x["text"]), width) for x in m], least)
                 yield pd.DataFrame([(m[x]["node"], m[y]["node"]) for x, y in pairs], columns=["a", "b"]).astype(str)
 
-    marked = stored(source.mapInPandas(mark, f"doc_id {kind}, key string, node string, bands array<long>"), "minhash")
+    marked = stored(source.mapInPandas(digest, f"doc_id {kind}, key string, node string, bands array<long>, fp long, worded boolean"), "minhash")
+    nodes = stored(marked.where("worded").groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp")), "minhash-nodes")
+    point = mark()
+    alike = stored(fingerprint_classes(stored(nodes.select(F.col("node").alias("doc_id"), "fp"), "fingerprints")).select("doc_id", F.xxhash64("component_id")), "simhash-classes")
+    drop_since(docs.sparkSession, point, keep=1)
     own = stored(marked.groupBy("key", "node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "minhash-rows")
-    keyed = marked.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
+    keyed = nodes.select("node", F.explode("bands").alias("band")).union(alike)
     keys = stored(shared(stored(keyed, "minhash-keyed"), "band", "minhash"), "minhash-keys")
     centres = stored(keys.groupBy("band").agg(F.min("node").alias("a"), F.first("n").alias("times")), "minhash-centres")
     # of each text that shares a key one row is read

@@ -190,15 +190,19 @@ def links(fps: DataFrame, *, bucket: int = 48, most: int = 8192) -> DataFrame:
     return pairs.union(spanned).union(around).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, bucket: int = 48, most: int = 8192, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep``, fingerprint (16 hex digits) and component_id of each row."""
-    spark = docs.sparkSession
-    cols = kept_columns(keep, ["doc_id", "fp", "fingerprint", "component_id"])
-    marked = stored(fingerprints(docs, doc_id=doc_id, text=text, width=width, keep=tuple(cols)), "fingerprints")
+def fingerprint_classes(marked: DataFrame, *, bucket: int = 48, most: int = 8192) -> DataFrame:
+    """Rows of ``marked`` (stored; doc_id, fp and others) with component_id, the smallest id of their class."""
     first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     root = components(links(first.select("fp"), bucket=bucket, most=most))
     rooted = stored(first.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("k")), "classes")
     classes = stored(meet(rooted, least, ["root"], "k").select("fp", "component_id", "n"), "class-of")
-    named = meet(marked, classes, ["fp"], "n")
+    return meet(marked, classes, ["fp"], "n")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 3, bucket: int = 48, most: int = 8192, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, fingerprint (16 hex digits) and component_id of each row."""
+    cols = kept_columns(keep, ["doc_id", "fp", "fingerprint", "component_id"])
+    marked = stored(fingerprints(docs, doc_id=doc_id, text=text, width=width, keep=tuple(cols)), "fingerprints")
+    named = fingerprint_classes(marked, bucket=bucket, most=most)
     return named.select("doc_id", *cols, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
